@@ -6,11 +6,12 @@ searches by score are tested against brute-force versions in tests/llm instead.
 
 from __future__ import annotations
 
+from pagelattice.llm.minhash_dedup import op4_minhash_near_dedup
 from pagelattice.llm.packing import op3_best_fit_packing
 from pagelattice.llm.sstable import op6_token_shards
 from pagelattice.llm.substring_dedup import op1_substring_dedup
 from pagelattice.llm.token_counts import op5_token_counts
 from pagelattice.llm.tree_bpe import op7_tree_bpe
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op5_token_counts, op6_token_shards, op7_tree_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_counts, op6_token_shards, op7_tree_bpe)}
 ORACLE: dict[str, str] = {}
