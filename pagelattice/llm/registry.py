@@ -11,7 +11,9 @@ from pagelattice.llm.packing import op3_best_fit_packing
 from pagelattice.llm.sstable import op6_token_shards
 from pagelattice.llm.substring_dedup import op1_substring_dedup
 from pagelattice.llm.token_counts import op5_token_counts
+from pagelattice.llm.topk import OP9_SQL, op9_topk_search
+from pagelattice.llm.toxicity import op2_toxicity
 from pagelattice.llm.tree_bpe import op7_tree_bpe
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_counts, op6_token_shards, op7_tree_bpe)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_counts, op6_token_shards, op7_tree_bpe, op9_topk_search)}
+ORACLE: dict[str, str] = {"op9_topk_search": OP9_SQL}
