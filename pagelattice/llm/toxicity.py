@@ -66,8 +66,8 @@ def select_terms(counts: np.ndarray, totals: np.ndarray, most: int, least: int =
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.zeros(counts.shape[1])
         for y in (0, 1):
-            for have in (counts[y], totals[y] - counts[y]):
-                expected = totals[y] * (df if have is counts[y] else n - df) / n
+            for have, of in ((counts[y], df), (totals[y] - counts[y], n - df)):
+                expected = totals[y] * of / n
                 ratio += np.where(have > 0, 2 * have * np.log(have / expected), 0)
     ratio[df < least] = 0
     clear = np.flatnonzero(ratio > 15)
