@@ -153,7 +153,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     found = spark.sparkContext.broadcast(places(plan(counts, capacity)))
-    ranked = dealt.join(bases.drop("_n"), ["length", "_part"]).withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(*[F.col(f"`{c}`") for c in names if c != "length"] or ["length"])) - 1 + F.col("_base"))
+    ranked = dealt.join(bases.drop("_n").hint("merge"), ["length", "_part"]).withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(*[F.col(f"`{c}`") for c in names if c != "length"] or ["length"])) - 1 + F.col("_base"))
     out = ranked.select(*[F.col(f"`{c}`") for c in names], "_rank")
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at_length = names.index("length")
