@@ -7,6 +7,7 @@ searches by score are tested against brute-force versions in tests/llm instead.
 from __future__ import annotations
 
 from pagelattice.llm.embedding_dedup import OP10_SQL, op10_projection_dedup
+from pagelattice.llm.lm_scoring import op8_lm_scoring
 from pagelattice.llm.minhash_dedup import op4_minhash_near_dedup
 from pagelattice.llm.packing import op3_best_fit_packing
 from pagelattice.llm.sstable import op6_token_shards
@@ -16,5 +17,5 @@ from pagelattice.llm.topk import OP9_SQL, op9_topk_search
 from pagelattice.llm.toxicity import op2_toxicity
 from pagelattice.llm.tree_bpe import op7_tree_bpe
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_counts, op6_token_shards, op7_tree_bpe, op9_topk_search, op10_projection_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_counts, op6_token_shards, op7_tree_bpe, op8_lm_scoring, op9_topk_search, op10_projection_dedup)}
 ORACLE: dict[str, str] = {"op9_topk_search": OP9_SQL, "op10_projection_dedup": OP10_SQL}
