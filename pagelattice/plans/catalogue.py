@@ -1,6 +1,229 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries and the SQL that gives the same rows. Each query runs an operator over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from pagelattice.functions import names as N
+from pagelattice.functions import ocr as O
+from pagelattice.functions import pages as P
+from pagelattice.functions import text as X
+from pagelattice.operators import boxes as B
+from pagelattice.operators import classify as C
+from pagelattice.operators import index as I
+from pagelattice.operators import reconcile as R
+from pagelattice.operators.repair import repair
+from pagelattice.plans import derived as D
+from pagelattice.plans import report
+from pagelattice.sources import define_xml, gold
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _relation(x: str, p: str) -> str:
+    out = lambda a, b: f"len(list_filter({a}, lambda e: NOT list_contains({b}, e)))"
+    return f"CASE WHEN {x} = {p} THEN 'exact' WHEN len({x}) > 0 AND {out(x, p)} = 0 THEN 'pdf_superset' WHEN len({p}) > 0 AND {out(p, x)} = 0 THEN 'pdf_subset' WHEN list_has_any({x}, {p}) THEN 'overlap' ELSE 'disjoint' END"
+
+
+def _diff(x: str, p: str) -> str:
+    only = lambda a, b, n: f"CASE WHEN len(list_filter({a}, lambda e: NOT list_contains({b}, e))) > 0 THEN '{n}=' || array_to_string(list_filter({a}, lambda e: NOT list_contains({b}, e)), ',') END"
+    return f"concat_ws('; ', {only(x, p, 'xml_only')}, {only(p, x, 'pdf_only')})"
+
+
+# --- scalar functions
+
+
+@query("SELECT p_partkey, upper(trim(regexp_replace('  ' || p_name || chr(9) || ' x ', '\\s+', ' ', 'g'))) AS name FROM part")
+def normalize_names(spark, sf_dir):
+    raw = F.concat(F.lit("  "), F.col("p_name"), F.lit("\t x "))
+    return D.read(spark, sf_dir, "part").select("p_partkey", P.normalize_text(raw).alias("name"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN '' ELSE '' END AS dataset FROM part")
+def oid_dataset(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    oid = F.when(k == 0, F.concat(F.lit("IT."), F.col("p_brand"), F.lit(".V"))).when(k == 1, F.concat(F.lit("XX."), F.col("p_brand"), F.lit(".V"))).otherwise(F.concat(F.lit("IT."), F.col("p_brand")))
+    return D.read(spark, sf_dir, "part").select("p_partkey", X.oid_dataset(oid).alias("dataset"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN generate_series(p_size, p_size + 2) WHEN 1 THEN [p_size, 7] WHEN 2 THEN generate_series(least(p_size, 9), greatest(p_size, 9)) ELSE [p_size] END) AS page FROM part)
+SELECT p_partkey, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages, CAST(count(*) AS INTEGER) AS n FROM (SELECT DISTINCT * FROM t) GROUP BY 1""")
+def parse_pages_ranges(spark, sf_dir):
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    text = F.when(k == 0, F.concat((F.col("p_size") + 2).cast("string"), F.lit("-"), s)).when(k == 1, F.concat(F.lit("7, x "), s, F.lit(",2-"))).when(k == 2, F.concat(s, F.lit("-9,"), s)).otherwise(F.concat(s, F.lit(" 1-2-3 "), s))
+    pages = P.parse_pages(P.page_tokens(text))
+    return D.read(spark, sf_dir, "part").select("p_partkey", P.format_pages(pages).alias("pages"), F.size(pages).alias("n"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort([p_size, 3, CAST(p_partkey % 5 AS INTEGER)]), ' ') AS pages FROM part")
+def format_pages(spark, sf_dir):
+    raw = F.concat(F.col("p_size").cast("string"), F.lit(", x,3 ,"), (F.col("p_partkey") % 5).cast("string"))
+    return D.read(spark, sf_dir, "part").select("p_partkey", P.format_pages(P.int_list(raw), " ").alias("pages"))
+
+
+@query(f"WITH {D.SETS_SQL} SELECT k, {_relation('xml', 'pdf')} AS relation, CAST(list_position(['disjoint', 'overlap', 'pdf_subset', 'pdf_superset', 'exact'], {_relation('xml', 'pdf')}) - 1 AS INTEGER) AS rank FROM sets")
+def page_relation(spark, sf_dir):
+    rel = P.relation(F.col("xml"), F.col("pdf"))
+    return D.page_sets(spark, sf_dir).select("k", rel.alias("relation"), P.relation_rank(rel).alias("rank"))
+
+
+@query(f"WITH {D.SETS_SQL} SELECT k, {_diff('xml', 'pdf')} AS detail FROM sets")
+def page_diff_detail(spark, sf_dir):
+    return D.page_sets(spark, sf_dir).select("k", P.diff_detail(F.col("xml"), F.col("pdf")).alias("detail"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey AS k, greatest(1, p_size - 10) AS low, least(40, p_size) AS high FROM part), t AS (SELECT k, unnest(generate_series(low, high)) AS p FROM s UNION SELECT k, 5 FROM s)
+SELECT k, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS pages FROM t GROUP BY k""")
+def page_specification(spark, sf_dir):
+    spec = F.concat(F.col("p_size").cast("string"), F.lit("-"), F.greatest(F.col("p_size") - 10, F.lit(0)).cast("string"), F.lit(", 5,900,z"))
+    return D.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), P.format_pages(gold.page_spec(spec, F.lit(40))).alias("pages"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name || p_type) > 20 THEN substr(p_name || p_type, 1, 20) || '...' ELSE p_name || p_type END AS preview, replace(p_type || ',x; y | z', ',', ',' || chr(10)) AS wrapped FROM (SELECT *, 1 FROM part)".replace("replace(p_type || ',x; y | z', ',', ',' || chr(10))", "replace(replace(replace(p_type || ',x; y | z', ',', ',' || chr(10)), '; ', ';' || chr(10)), ' | ', chr(10))"))
+def cell_text(spark, sf_dir):
+    return D.read(spark, sf_dir, "part").select("p_partkey", report.preview(F.concat("p_name", "p_type"), 20).alias("preview"), report.wrap(F.concat("p_type", F.lit(",x; y | z"))).alias("wrapped"))
+
+
+_PARTED = r"""
+raw AS (SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN 'v' || p_partkey WHEN 1 THEN 'V.' || p_partkey WHEN 2 THEN 'V..' || p_partkey || '.Q.X Y' WHEN 3 THEN 'V.D.Q.EQ.' || p_size || '.5' WHEN 4 THEN 'V.D.Q.Z.' || p_size
+  WHEN 5 THEN 'V.A.QA.' || p_size || '.B.QB.' || p_partkey WHEN 6 THEN 'A.B.C.EQ' ELSE 'A.B.C.in.E.F.G.H' END AS name FROM part),
+parts AS (SELECT k, name, list_filter(list_transform(string_split(upper(name), '.'), lambda x: trim(x)), lambda x: x <> '') AS p FROM raw),
+kinds AS (SELECT *, CASE WHEN len(p) = 1 THEN 'simple' WHEN len(p) >= 5 AND p[4] IN ('EQ', 'IN') THEN 'vlm' WHEN len(p) = 4 THEN 'vlm' WHEN len(p) >= 7 AND (len(p) - 1) % 3 = 0 THEN 'multi_criteria' ELSE 'low_confidence' END AS kind FROM parts)"""
+
+
+def _names(spark, sf_dir):
+    k, s, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_partkey") % 8
+    cat = lambda *p: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in p])
+    name = F.when(n == 0, cat("v", k)).when(n == 1, cat("V.", k)).when(n == 2, cat("V..", k, ".Q.X Y")).when(n == 3, cat("V.D.Q.EQ.", s, ".5")).when(n == 4, cat("V.D.Q.Z.", s)).when(n == 5, cat("V.A.QA.", s, ".B.QB.", k)).when(n == 6, F.lit("A.B.C.EQ")).otherwise(F.lit("A.B.C.in.E.F.G.H"))
+    return D.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), N.parse_name(name).alias("n"))
+
+
+@query(f"""WITH {_PARTED}
+SELECT k, kind, CASE WHEN kind = 'low_confidence' THEN '' ELSE p[1] END AS target, CASE WHEN kind = 'vlm' AND len(p) >= 5 THEN p[4] ELSE '' END AS operator,
+  CASE WHEN kind = 'vlm' AND len(p) = 4 THEN p[3] || '=' || p[4] WHEN kind = 'vlm' THEN p[3] || '=' || array_to_string(p[5:], '.')
+    WHEN kind = 'multi_criteria' THEN array_to_string(list_transform(range(2, len(p), 3), lambda i: p[i + 1] || '=' || p[i + 2]), ' AND ') ELSE '' END AS key,
+  CAST(CASE kind WHEN 'vlm' THEN 1 WHEN 'multi_criteria' THEN (len(p) - 1) // 3 ELSE 0 END AS INTEGER) AS n_criteria FROM kinds""")
+def parse_names(spark, sf_dir):
+    return _names(spark, sf_dir).select("k", "n.kind", F.col("n.target_var").alias("target"), "n.operator", F.col("n.qualifier_key").alias("key"), F.size("n.criteria").alias("n_criteria"))
+
+
+# --- contract
+
+
+@query("""
+WITH items AS (SELECT o_custkey % 500 AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE (o_orderkey % 9) || '  ' || (o_orderkey % 9) END AS refs, o_orderkey FROM orders),
+f AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY name ORDER BY o_orderkey) = 1)
+SELECT 'N' || name AS variable, array_to_string(string_split_regex(refs, ' +'), ' ') AS page_string, 2 AS page_count FROM f WHERE refs <> ''""")
+def define_contract_dedupe(spark, sf_dir):
+    k = F.col("o_orderkey")
+    refs = F.when(k % 3 != 0, F.concat((k % 9).cast("string"), F.lit("  "), (k % 9).cast("string")))
+    items = D.read(spark, sf_dir, "orders").select(k.alias("pos"), F.concat(F.lit("N"), (F.col("o_custkey") % 500).cast("string")).alias("name"), F.lit("IT.A.B").alias("oid"), refs.alias("page_refs"))
+    return define_xml.contract(items).select("variable", "page_string", "page_count")
+
+
+@query("SELECT 'P' || p_partkey AS variable, p_brand AS dataset, CASE WHEN p_size % 2 = 0 THEN p_size || ' 7' ELSE CAST(p_size AS VARCHAR) END AS page_string, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS page_count FROM part WHERE p_size % 5 <> 0")
+def xml_contract_roundtrip(spark, sf_dir):
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size")
+    refs = F.when(s % 5 == 0, "").otherwise(F.concat(F.lit('<d:Origin><d:DocumentRef><d:PDFPageRef Type="PhysicalRef" PageRefs="'), s.cast("string"), F.when(s % 2 == 0, " 7").otherwise(""), F.lit('"/></d:DocumentRef></d:Origin>')))
+    item = F.concat(F.lit('<ItemDef OID="IT.'), F.col("p_brand"), F.lit(".P"), k, F.lit('" Name="P'), k, F.lit('">'), refs, F.lit("</ItemDef>"))
+    rows = D.read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).cast("string").alias("doc_id")).agg(F.array_join(F.collect_list(item), "\n").alias("items"))
+    docs = rows.select("doc_id", F.concat(F.lit('<ODM xmlns:d="urn:d"><Study>'), "items", F.lit("</Study></ODM>")).alias("value"))
+    return define_xml.contract(define_xml.item_definitions(docs)).select("variable", "dataset", "page_string", "page_count")
+
+
+@query("SELECT count(*) AS variables, CAST(sum(n) AS BIGINT) AS page_refs, count(DISTINCT d) AS datasets FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS n, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS d FROM part)")
+def contract_summary(spark, sf_dir):
+    rows = D.read(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, 2).otherwise(1).alias("page_count"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_brand")).alias("dataset"))
+    return define_xml.contract_summary(rows)
+
+
+# --- cross-validation
+
+_CROSS = f"""WITH {D.CONTRACT_SQL},
+vars AS (
+  SELECT upper(variable) AS name, list_sort(list_distinct(flatten(list(pages)))) AS pages, arg_min(CASE WHEN category = '' THEN 'unknown' ELSE category END, seq) AS category,
+    array_to_string(list_distinct_ordered, ' | ') AS raws
+  FROM (SELECT t.*, r.list_distinct_ordered FROM term_rows t JOIN (SELECT variable AS v, list(raw ORDER BY s) AS list_distinct_ordered FROM (SELECT variable, raw, min(seq) AS s FROM term_rows GROUP BY 1, 2) GROUP BY 1) r ON r.v = t.variable)
+  WHERE category NOT IN ('dataset_name', 'not_submitted') GROUP BY upper(variable), list_distinct_ordered),
+doms AS (SELECT name, list_sort(list_distinct(flatten(list(pages)))) AS pages FROM (SELECT upper(domain) AS name, pages FROM domain_rows UNION ALL SELECT upper(variable), pages FROM term_rows WHERE category = 'dataset_name') GROUP BY 1),
+parsed AS (SELECT *, pos % 6 AS m, CASE pos % 6 WHEN 0 THEN 'simple' WHEN 5 THEN 'simple' WHEN 3 THEN 'multi_criteria' WHEN 4 THEN 'low_confidence' ELSE 'vlm' END AS kind FROM contract),
+cands AS (
+  SELECT pos, 0 AS ord, CASE WHEN m IN (0, 5) THEN 'V' || pos WHEN m = 4 THEN 'V' || pos || '.B' ELSE 'V' || pos END AS name, CASE WHEN m IN (0, 4, 5) THEN 'simple' ELSE 'path_A_target_var' END AS path FROM parsed
+  UNION ALL SELECT pos, 1, 'Q' || pos || '=' || CASE WHEN m = 1 THEN 'X' ELSE '1.5' END, 'path_B_qualifier_value' FROM parsed WHERE m IN (1, 2)
+  UNION ALL SELECT pos, 1, 'QA=' || pos, 'path_B_criteria_0' FROM parsed WHERE m = 3
+  UNION ALL SELECT pos, 2, 'QB=' || pos, 'path_B_criteria_1' FROM parsed WHERE m = 3),
+hits AS (SELECT c.*, v.pages AS mp, {_relation('p.pages', 'v.pages')} AS rel FROM cands c JOIN parsed p USING (pos) JOIN vars v USING (name) WHERE p.kind <> 'low_confidence'),
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY pos ORDER BY list_position(['disjoint', 'overlap', 'pdf_subset', 'pdf_superset', 'exact'], rel) DESC, ord) = 1),
+detail AS (
+  SELECT p.dataset AS XML_Dataset, p.variable AS XML_Variable, array_to_string(p.pages, ',') AS XML_Pages, CAST(len(p.pages) AS INTEGER) AS XML_PageCount, coalesce(b.name, '') AS PDF_Matched_Name,
+    coalesce(array_to_string(b.mp, ','), '') AS PDF_Pages, CAST(coalesce(len(b.mp), 0) AS INTEGER) AS PDF_PageCount,
+    CASE WHEN kind = 'low_confidence' THEN 'LOW_CONFIDENCE' WHEN b.rel IS NULL THEN 'MISSING_IN_PDF' WHEN b.rel <> 'exact' THEN 'PAGE_MISMATCH' WHEN kind = 'simple' THEN 'MATCH' ELSE 'VLM_RESOLVED' END AS diff_type,
+    coalesce(b.rel, '') AS page_subset, coalesce(b.path, '') AS match_path, CASE WHEN b.rel IS NULL THEN '' ELSE {_diff('p.pages', 'b.mp')} END AS page_diff_detail,
+    CASE WHEN kind = 'low_confidence' THEN 'Unable to parse XML variable into simple or VLM pattern.' ELSE '' END AS note, p.pos
+  FROM parsed p LEFT JOIN best b USING (pos)),
+extra AS (SELECT 'EXTRA_IN_PDF' AS diff_type, name AS PDF_Name, array_to_string(pages, ',') AS PDF_Pages, CAST(len(pages) AS INTEGER) AS PDF_PageCount, category AS Category, CASE WHEN contains(name, '=') THEN 'value_pair' ELSE 'unmapped_variable' END AS subtype, raws AS RawTexts FROM vars WHERE name NOT IN (SELECT name FROM cands)),
+extra_domains AS (SELECT 'EXTRA_IN_PDF' AS diff_type, name AS PDF_Domain, array_to_string(pages, ',') AS PDF_Pages, CAST(len(pages) AS INTEGER) AS PDF_PageCount, 'extra_domain' AS subtype FROM doms WHERE name NOT IN (SELECT upper(dataset) FROM contract))
+"""
+
+
+def _cross(spark, sf_dir) -> R.CrossValidation:
+    return R.cross_validate(*D.contract_tables(spark, sf_dir))
+
+
+@query(_CROSS + "SELECT * EXCLUDE (pos) FROM detail")
+def cross_validation_detail(spark, sf_dir):
+    return _cross(spark, sf_dir).detail
+
+
+@query(_CROSS + "SELECT pos, name AS matched_name, path AS match_path, array_to_string(mp, ',') AS pages, rel AS relation FROM best")
+def best_match(spark, sf_dir):
+    contract, index, _ = D.contract_tables(spark, sf_dir)
+    rows = contract.withColumn("parsed", N.parse_name(F.col("variable"))).where("parsed.kind <> 'low_confidence'").withColumn("candidates", N.candidate_names(F.col("parsed")))
+    return R.best_matches(rows, R.variable_index(index)).select("pos", "matched_name", "match_path", P.format_pages(F.col("matched_pages")).alias("pages"), "relation")
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE diff_type = '{d}') AS {{{d}}}" for d in R.DIFFS.values())
+
+
+@query(_CROSS + "SELECT XML_Dataset AS Dataset, count(*) AS XML_Variable_Count, " + _COUNTS.format(**{d: d for d in R.DIFFS.values()}) + " FROM detail GROUP BY 1")
+def summary_by_dataset(spark, sf_dir):
+    return _cross(spark, sf_dir).summary_by_dataset
+
+
+@query(_CROSS + "SELECT count(*) AS total_xml_variables, " + _COUNTS.format(**{d: n for n, d in R.DIFFS.items()}) + ", (SELECT count(*) FROM vars) AS total_pdf_variables, (SELECT count(*) FROM doms) AS total_pdf_domains, (SELECT count(*) FROM extra) AS extra_in_pdf_variables, (SELECT count(*) FROM extra_domains) AS extra_in_pdf_domains FROM detail")
+def summary_total(spark, sf_dir):
+    return _cross(spark, sf_dir).summary
+
+
+@query(_CROSS + "SELECT * FROM extra")
+def extra_variables(spark, sf_dir):
+    return _cross(spark, sf_dir).extra_variables
+
+
+@query(_CROSS + "SELECT * FROM extra_domains")
+def extra_domains(spark, sf_dir):
+    return _cross(spark, sf_dir).extra_domains
+
+
+@query(_CROSS + "SELECT name, array_to_string(pages, ',') AS pages, category, raws FROM vars")
+def pdf_variable_index(spark, sf_dir):
+    return R.variable_index(D.contract_tables(spark, sf_dir)[1]).select("name", P.format_pages(F.col("pages")).alias("pages"), "category", F.array_join("raw_texts", " | ").alias("raws"))
+
+
+@query(_CROSS + "SELECT XML_Dataset || ' / ' || XML_Variable AS item, replace(XML_Pages, ',', ',' || chr(10)) || ' (' || XML_PageCount || ')' AS xml_pages, PDF_Matched_Name AS matched, replace(PDF_Pages, ',', ',' || chr(10)) || ' (' || PDF_PageCount || ')' AS pdf_pages, diff_type || ' / ' || page_subset || ' / ' || match_path AS verdict, replace(replace(page_diff_detail, ',', ',' || chr(10)), '; ', ';' || chr(10)) AS difference FROM detail")
+def detail_display(spark, sf_dir):
+    return report.detail_display(_cross(spark, sf_dir).detail)
