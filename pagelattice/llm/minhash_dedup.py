@@ -183,7 +183,8 @@ def components(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "
     total = clusters.count()
     bundles = max(1, -(-total // BUNDLE))
 
-    members = clusters.join(sizes, "cluster").join(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), "id")
+    # never by broadcast, as the members grow with the documents
+    members = clusters.join(sizes, "cluster").join(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).hint("merge"), "id")
     members = members.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int"))
     members = written(members.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")), "minhash-members")
     common = members.where("tiles > 1").where(F.pmod(F.xxhash64("id", F.lit(7)), F.col("members")) < PIVOTS).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -219,7 +220,7 @@ def components(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "
 
 def near_dedup(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the documents that are linked, over any number of links, with one of a smaller id."""
-    gone = components(docs, k, threshold, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = components(docs, k, threshold, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
     return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
 
 
