@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelattice.functions.pages import normalize_text
+from pagelattice.functions.text import let
 
 #: Operators that can stand in the fourth place of a name.
 OPERATORS = ["EQ", "IN"]
@@ -18,7 +19,11 @@ def name_parts(c: Column) -> Column:
 
 def parse_name(c: Column) -> Column:
     """struct(kind, normalized, target_var, dataset, qualifier, operator, value, qualifier_key, criteria); kinds are tried in the order of the branches."""
-    p, none = name_parts(c), F.lit("")
+    return let(F.struct(normalize_text(c).alias("whole"), name_parts(c).alias("parts")), _parsed)
+
+
+def _parsed(name: Column) -> Column:
+    p, whole, none = name["parts"], name["whole"], F.lit("")
     n = F.size(p)
     at = lambda i: F.coalesce(F.get(p, F.lit(i)), none)
     rest = F.array_join(F.slice(p, 5, F.greatest(n - 4, F.lit(0))), ".")
@@ -27,7 +32,6 @@ def parse_name(c: Column) -> Column:
     one = lambda d, q, v: F.array(F.struct(d.alias("dataset"), q.alias("qualifier"), v.alias("value")))
     no_criteria = F.filter(triples, lambda x: F.lit(False))
     pair = lambda q, v: F.concat(q, F.lit("="), v)
-    whole = normalize_text(c)
 
     def made(kind, target=none, dataset=none, qualifier=none, operator=none, value=none, key=none, criteria=no_criteria):
         return F.struct(F.lit(kind).alias("kind"), whole.alias("normalized"), target.alias("target_var"), dataset.alias("dataset"), qualifier.alias("qualifier"), operator.alias("operator"), value.alias("value"), key.alias("qualifier_key"), criteria.alias("criteria"))

@@ -39,7 +39,10 @@ def lowercase_ratio(c: Column) -> Column:
 
 def score(c: Column) -> Column:
     """How much a text looks like an annotation rather than a page's body; -10 for an empty one."""
-    n = normalize(c)
+    return X.let(normalize(c), _score)
+
+
+def _score(n: Column) -> Column:
     words, chars = F.size(F.split(n, r"(?U)\s+")), F.length(n)
     penalty = F.when(chars > 220, F.least(F.lit(6.0), (chars - 220) / 35.0)).otherwise(0.0) + F.when(words > 22, F.least(F.lit(5.0), (words - 22) / 5.0)).otherwise(0.0)
     total = (
@@ -51,57 +54,70 @@ def score(c: Column) -> Column:
 
 def gate(c: Column, scored: Column, least: float = 1.5) -> Column:
     """Whether a text with that score is let through as an annotation."""
-    n = normalize(c)
-    upper, lower = _count(n, UPPER), lowercase_ratio(n)
-    sure = n.rlike(X.NOT_SUBMITTED) | n.rlike(SUPP) | n.rlike(ASSIGN) | n.rlike(PAREN)
-    return (n != "") & (scored >= least) & (sure | ((upper >= 2) & (lower <= 0.45)) | ((upper == 1) & (lower <= 0.2) & (F.length(n) <= 14)))
+
+    def passes(n: Column) -> Column:
+        upper, lower = _count(n, UPPER), lowercase_ratio(n)
+        sure = n.rlike(X.NOT_SUBMITTED) | n.rlike(SUPP) | n.rlike(ASSIGN) | n.rlike(PAREN)
+        return (n != "") & (sure | ((upper >= 2) & (lower <= 0.45)) | ((upper == 1) & (lower <= 0.2) & (F.length(n) <= 14)))
+
+    return (scored >= least) & X.let(normalize(c), passes)
 
 
 def quality(c: Column, known: list[str]) -> Column:
     """Bias between two readings of a picture; known: vocabulary terms in upper case."""
-    n = normalize(c)
     inside = lambda t: t.isin(*known) if known else F.lit(False)
     each = lambda t: F.when(inside(t), 0.2).when(F.length(t) <= 4, -0.9).otherwise(-0.4)
-    tokens = F.aggregate(X.lhs_tokens(n), F.lit(0.0), lambda a, t: a + each(t))
-    marks = F.when(n.rlike(QNAM), 1.0).otherwise(0.0) - F.when(n.rlike(SPLIT_LHS), 1.2).otherwise(0.0) - F.when(n.rlike(DRIFT), 1.0).otherwise(0.0)
-    return F.when(n == "", -5.0).otherwise(marks + tokens)
+
+    def bias(n: Column) -> Column:
+        tokens = F.aggregate(X.lhs_tokens(n), F.lit(0.0), lambda a, t: a + each(t))
+        marks = F.when(n.rlike(QNAM), 1.0).otherwise(0.0) - F.when(n.rlike(SPLIT_LHS), 1.2).otherwise(0.0) - F.when(n.rlike(DRIFT), 1.0).otherwise(0.0)
+        return F.when(n == "", -5.0).otherwise(marks + tokens)
+
+    return X.let(normalize(c), bias)
 
 
 def needs_second_pass(c: Column, known: list[str]) -> Column:
-    n = normalize(c)
-    short = F.exists(X.lhs_tokens(n), lambda t: (F.length(t) <= 4) & ~(t.isin(*known) if known else F.lit(False)))
-    return (n != "") & (short | n.rlike(SPLIT_LHS) | n.rlike(DRIFT) | (n.rlike(SUPP) & ~n.rlike(QNAM)))
+    def risky(n: Column) -> Column:
+        short = F.exists(X.lhs_tokens(n), lambda t: (F.length(t) <= 4) & ~(t.isin(*known) if known else F.lit(False)))
+        return (n != "") & (short | n.rlike(SPLIT_LHS) | n.rlike(DRIFT) | (n.rlike(SUPP) & ~n.rlike(QNAM)))
+
+    return X.let(normalize(c), risky)
 
 
 def one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) >= 0
 
 
+def _pick(now: Column, other: Column, known: list[str], margin: float, bonus=lambda t: F.lit(0.0)) -> Column:
+    """`other` if it is not empty and its score, quality and bonus are at least those of `now` and a margin."""
+
+    def better(t: Column) -> Column:
+        wins = score(t["other"]) + quality(t["other"], known) + bonus(t) >= score(t["now"]) + quality(t["now"], known) + margin
+        return F.when((F.coalesce(t["other"], F.lit("")) != "") & wins, t["other"]).otherwise(t["now"])
+
+    return X.let(F.struct(now.alias("now"), other.alias("other")), better)
+
+
 def pick_repaired(text: Column, repaired: Column, known: list[str]) -> Column:
     """The repaired text unless it is empty or scores less."""
-    better = score(repaired) + quality(repaired, known) >= score(text) + quality(text, known)
-    return F.when((F.coalesce(repaired, F.lit("")) != "") & better, repaired).otherwise(text)
+    return _pick(text, repaired, known, 0.0)
 
 
 def pick_second(first: Column, second: Column, known: list[str]) -> Column:
     """A second reading of a suspicious text, if it is better by 0.35."""
-    better = score(second) + quality(second, known) >= score(first) + quality(first, known) + 0.35
-    return F.when((F.coalesce(second, F.lit("")) != "") & better, second).otherwise(first)
+    return _pick(first, second, known, 0.35)
 
 
 def pick_easyocr(text: Column, easy: Column, confidence: Column, known: list[str]) -> Column:
-    wins = score(easy) + quality(easy, known) + confidence * 2.5 >= score(text) + quality(text, known) - 0.1
-    return F.when((F.coalesce(easy, F.lit("")) != "") & wins, easy).otherwise(text)
+    return _pick(text, easy, known, -0.1, lambda t: confidence * 2.5)
 
 
 def pick_trocr(text: Column, trocr: Column, known: list[str]) -> Column:
-    bonus = F.when(trocr.contains("="), 0.8).otherwise(0.0) + F.when(trocr.rlike(SUPP), 0.5).otherwise(0.0)
-    wins = score(trocr) + quality(trocr, known) + bonus >= score(text) + quality(text, known) - 0.05
-    return F.when((F.coalesce(trocr, F.lit("")) != "") & wins, trocr).otherwise(text)
+    return _pick(text, trocr, known, -0.05, lambda t: F.when(t["other"].contains("="), 0.8).otherwise(0.0) + F.when(t["other"].rlike(SUPP), 0.5).otherwise(0.0))
 
 
 def analysis_texts(primary: Column, *assists: Column) -> Column:
     """Distinct texts to look for terms in: the chosen reading if it passes at 1.8, others at 1.25 or with an assignment or SUPP name. None: noise."""
-    parts = [F.when(gate(primary, score(primary), 1.8), normalize(primary))]
-    parts += [F.when(gate(a, score(a), 1.25) | F.coalesce(a, F.lit("")).rlike(ASSIGN) | F.coalesce(a, F.lit("")).rlike(SUPP), normalize(a)) for a in assists]
-    return F.array_distinct(F.filter(F.array(*parts), lambda t: t.isNotNull() & (t != "")))
+    first = X.let(primary, lambda t: F.when(gate(t, score(t), 1.8), normalize(t)))
+    more = [X.let(a, lambda t: F.when(gate(t, score(t), 1.25) | F.coalesce(t, F.lit("")).rlike(ASSIGN) | F.coalesce(t, F.lit("")).rlike(SUPP), normalize(t))) for a in assists]
+    return F.array_distinct(F.filter(F.array(first, *more), lambda t: t.isNotNull() & (t != "")))

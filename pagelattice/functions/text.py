@@ -20,6 +20,11 @@ OCR_SUPP_IN, OCR_SUPP_DOT = r"(?i)(?<![=A-Z0-9])([A-Z][A-Z0-9]{1,7})\s+in\s+(SUP
 NOT_SUBMITTED = r"(?i)\b(?:NOT\s+SUBMITTED|NOTSUBMITTED)\b"
 
 
+def let(c: Column, then) -> Column:
+    """then(c), with c evaluated once however often it is used."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

@@ -227,3 +227,409 @@ def pdf_variable_index(spark, sf_dir):
 @query(_CROSS + "SELECT XML_Dataset || ' / ' || XML_Variable AS item, replace(XML_Pages, ',', ',' || chr(10)) || ' (' || XML_PageCount || ')' AS xml_pages, PDF_Matched_Name AS matched, replace(PDF_Pages, ',', ',' || chr(10)) || ' (' || PDF_PageCount || ')' AS pdf_pages, diff_type || ' / ' || page_subset || ' / ' || match_path AS verdict, replace(replace(page_diff_detail, ',', ',' || chr(10)), '; ', ';' || chr(10)) AS difference FROM detail")
 def detail_display(spark, sf_dir):
     return report.detail_display(_cross(spark, sf_dir).detail)
+
+
+# --- annotation texts
+
+
+@query(f"WITH {D.ANNOTATIONS_SQL}, {D.CLEAN_SQL} SELECT doc_id, page, content FROM texts")
+def clean_annotations(spark, sf_dir):
+    return I.clean_annotations(D.annotations(spark, sf_dir)).select("doc_id", "page", "content")
+
+
+_STOP = "['" + "', '".join(X.STOPWORDS) + "']"
+
+
+@query(f"""
+WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS token FROM documents)
+SELECT doc_id, token FROM w WHERE regexp_full_match(token, '[A-Z][A-Z0-9]{{1,7}}') AND NOT list_contains({_STOP}, token)""")
+def candidate_tokens(spark, sf_dir):
+    # '=' begins a value span, of which these texts' tokens are no part here
+    text = F.replace(F.col("text"), F.lit("="), F.lit(";"))
+    return D.read(spark, sf_dir, "documents").select("doc_id", F.explode(X.candidates(text)).alias("token"))
+
+
+@query(f"""
+WITH {D.ANNOTATIONS_SQL}, {D.CLEAN_SQL}, m AS (SELECT seq, doc_id, page, content, regexp_replace(content, '(=\\s*)[A-Z0-9](?:[A-Z0-9\\s/\\-]{{0,79}}([A-Z0-9/\\-]))?', '\\1_\\2', 'g') AS masked FROM texts),
+t AS (SELECT DISTINCT doc_id, page, content, unnest(regexp_extract_all(masked, '\\b([A-Z][A-Z0-9]{{1,7}})\\b', 1)) AS token FROM m)
+SELECT * FROM t WHERE NOT list_contains({_STOP}, token) AND token NOT IN ('SMALL', 'LARGE')""")
+def candidates_masked(spark, sf_dir):
+    return I.clean_annotations(D.annotations(spark, sf_dir)).select("doc_id", "page", "content", F.explode(X.candidates(F.col("content"), D.VOCABULARY["blacklist"])).alias("token"))
+
+
+@query()
+def value_pairs(spark, sf_dir):
+    rows = D.annotations(spark, sf_dir)
+    return rows.select("doc_id", "page", F.explode(X.value_pairs(F.col("content"))).alias("p")).select("doc_id", "page", "p.variable", "p.value", "p.pair")
+
+
+@query(f"""
+WITH {D.ANNOTATIONS_SQL}, f AS (
+  SELECT doc_id, page, seq, unnest(list_zip(regexp_extract_all(content, '([A-Z][A-Z0-9]*?)\\s+in\\s+(SUPP[A-Z]{{2,}})', 1), regexp_extract_all(content, '([A-Z][A-Z0-9]*?)\\s+in\\s+(SUPP[A-Z]{{2,}})', 2))) AS p FROM annotations)
+SELECT doc_id, page, p[1] AS variable, p[2] AS dataset FROM f WHERE length(p[1]) <= 8 AND length(p[2]) <= 8""")
+def supp_pairs(spark, sf_dir):
+    return D.annotations(spark, sf_dir).select("doc_id", "page", F.explode(X.supp_pairs(F.col("content"))).alias("p")).select("doc_id", "page", "p.variable", "p.dataset")
+
+
+@query()
+def ocr_supp_pairs(spark, sf_dir):
+    return D.annotations(spark, sf_dir).select("doc_id", "page", F.explode(X.ocr_supp_pairs(F.col("content"))).alias("p")).select("doc_id", "page", "p.variable", "p.dataset")
+
+
+@query(f"""
+WITH {D.ANNOTATIONS_SQL}, n AS (SELECT doc_id, page, len(regexp_extract_all(content, '(?i)\\b(?:NOT\\s+SUBMITTED|NOTSUBMITTED)\\b')) AS n FROM annotations),
+p AS (SELECT doc_id, page, unnest(range(n)) FROM n WHERE n > 0)
+SELECT doc_id, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages, count(*) AS occurrences, CAST(count(DISTINCT page) AS INTEGER) AS page_count FROM p GROUP BY 1""")
+def not_submitted_bag(spark, sf_dir):
+    return I.not_submitted_bag(D.annotations(spark, sf_dir), "content").select("doc_id", F.col("page_string").alias("pages"), "occurrences", "page_count")
+
+
+# --- classification and indexes
+
+
+def _vocabulary() -> C.Vocabulary:
+    v = D.VOCABULARY
+    return C.Vocabulary(v["dataset"], v["variable"], v["dataset_affixes"], v["variable_affixes"], v["blacklist"])
+
+
+_SQL_LIST = lambda words: "('" + "', '".join(w.replace("'", "''") for w in words) + "')"
+
+
+def _classify_sql(ocr: bool) -> str:
+    v = D.VOCABULARY
+    bare = "" if ocr else "WHEN true THEN 'standard_variable/suffix_prefix'"
+    return f"""
+WITH {D.ANNOTATIONS_SQL}, t AS (SELECT DISTINCT upper(p_w) AS term, content FROM annotations, (SELECT DISTINCT unnest(string_split(p_type || ' ' || p_name, ' ')) AS p_w FROM part UNION SELECT unnest(['AE', 'SUPPXY', 'NOTSUBMITTEDX', 'PROMO', 'FAX', 'QZ', 'SMALL'])))
+SELECT term, content, CASE WHEN term IN {_SQL_LIST(v["blacklist"])} THEN 'blacklist/none' WHEN contains(term, 'NOT') AND contains(term, 'SUBMITTED') THEN 'not_submitted/none'
+  WHEN regexp_matches(upper(content), '\\b' || term || '\\s*\\(') THEN 'dataset_name/exact' WHEN term IN {_SQL_LIST(v["dataset"])} THEN 'dataset_name/exact' WHEN term IN {_SQL_LIST(v["variable"])} THEN 'standard_variable/exact'
+  {bare} WHEN starts_with(term, 'STA') OR ends_with(term, 'ED') THEN 'standard_variable/suffix_prefix' WHEN starts_with(term, 'SUPP') OR starts_with(term, 'FA') OR starts_with(term, 'PRO') THEN 'dataset_name/suffix_prefix'
+  {"WHEN regexp_matches(content, '\\bSUPP[A-Z]{2,8}\\b') THEN 'supp_variable/supp'" if ocr else ""} ELSE 'unknown/none' END AS class FROM t"""
+
+
+def _terms(spark, sf_dir):
+    words = D.read(spark, sf_dir, "part").select(F.explode(F.split(F.upper(F.concat_ws(" ", "p_type", "p_name")), " ")).alias("term")).union(spark.createDataFrame([(w,) for w in ("AE", "SUPPXY", "NOTSUBMITTEDX", "PROMO", "FAX", "QZ", "SMALL")], "term string")).distinct()
+    # a few dozen words beside each distinct text
+    return D.annotations(spark, sf_dir).select("content").distinct().crossJoin(F.broadcast(words))
+
+
+@query(_classify_sql(False))
+def classify_terms(spark, sf_dir):
+    c = C.classify(F.col("term"), F.col("content"), _vocabulary())
+    return _terms(spark, sf_dir).select("term", "content", F.concat_ws("/", c["category"], c["match_level"]).alias("class"))
+
+
+@query(_classify_sql(True))
+def classify_terms_ocr(spark, sf_dir):
+    c = C.classify(F.col("term"), F.col("content"), _vocabulary(), "ocr")
+    return _terms(spark, sf_dir).select("term", "content", F.concat_ws("/", c["category"], c["match_level"]).alias("class"))
+
+
+@query("""
+WITH t AS (SELECT l_partkey AS k, ['dataset_name', 'standard_variable', 'SUPPAE', 'supp_variable', 'unknown', 'SUPPDM'][CAST(l_suppkey % 6 + 1 AS INTEGER)] AS category, ['exact', 'suffix_prefix', 'supp', 'none'][CAST(l_orderkey % 4 + 1 AS INTEGER)] AS level,
+  row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem)
+SELECT k, category, level FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE level WHEN 'exact' THEN 3 WHEN 'suffix_prefix' THEN 2 WHEN 'supp' THEN 1 ELSE 0 END DESC,
+  CASE category WHEN 'dataset_name' THEN 3 WHEN 'not_submitted' THEN 3 WHEN 'standard_variable' THEN 2 WHEN 'supp_variable' THEN 1 ELSE 0 END DESC, (category <> 'unknown')::INT DESC, seq DESC) = 1""")
+def category_fold(spark, sf_dir):
+    pick = lambda words, c: F.get(F.array(*map(F.lit, words)), (F.col(c) % len(words)).cast("int"))
+    category, level = pick(["dataset_name", "standard_variable", "SUPPAE", "supp_variable", "unknown", "SUPPDM"], "l_suppkey"), pick(["exact", "suffix_prefix", "supp", "none"], "l_orderkey")
+    rows = D.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), category.alias("category"), level.alias("level"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"))
+    c, m = C.fold(F.col("category"), F.col("level"), F.col("seq"))
+    return rows.groupBy("k").agg(c.alias("category"), m.alias("level"))
+
+
+def _structural(spark, sf_dir):
+    texts = I.clean_annotations(D.annotations(spark, sf_dir))
+    return texts, I.occurrences(texts, _vocabulary())
+
+
+@query()
+def term_index(spark, sf_dir):
+    texts, found = _structural(spark, sf_dir)
+    return I.term_index(found).select("doc_id", "term", "page_string", "page_count", "category", "match_level", F.array_join("raw_texts", " | ").alias("raw_texts"))
+
+
+@query()
+def term_index_ocr(spark, sf_dir):
+    texts = I.clean_annotations(D.annotations(spark, sf_dir))
+    return I.term_index(I.occurrences(texts, _vocabulary(), "ocr")).select("doc_id", "term", "page_string", "page_count", "category", "match_level", F.array_join("raw_texts", " | ").alias("raw_texts"))
+
+
+@query("""
+WITH f AS (SELECT l_partkey % 97 AS term, l_suppkey % 25 AS page, 'raw ' || (l_orderkey % 5) AS raw, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem),
+r AS (SELECT term, string_agg(raw, ' | ' ORDER BY s) AS raw_texts FROM (SELECT term, raw, min(seq) AS s FROM f GROUP BY 1, 2) GROUP BY 1)
+SELECT 'd' AS doc_id, CAST(term AS VARCHAR) AS term, string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS VARCHAR)) AS pages, CAST(count(DISTINCT page) AS INTEGER) AS page_count, any_value(raw_texts) AS raw_texts FROM f JOIN r USING (term) GROUP BY term""")
+def term_index_rows(spark, sf_dir):
+    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = D.read(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc_id"), (F.col("l_partkey") % 97).cast("string").alias("term"), (F.col("l_suppkey") % 25).alias("page"), F.concat(F.lit("raw "), (F.col("l_orderkey") % 5).cast("string")).alias("raw"), seq.alias("seq"), F.lit(0).alias("ord"), F.lit("unknown").alias("category"), F.lit("none").alias("match_level"))
+    out = I.term_index(rows)
+    return out.select("doc_id", "term", F.array_join(F.array_sort(F.col("pages").cast("array<string>")), ",").alias("pages"), "page_count", "raw_texts").withColumn("raw_texts", F.array_join("raw_texts", " | "))
+
+
+@query(f"""
+WITH {D.ANNOTATIONS_SQL}, {D.CLEAN_SQL}, t AS (SELECT DISTINCT doc_id, page, unnest(regexp_extract_all(content, '\\b([A-Z]{{1,3}})\\b', 1)) AS domain FROM texts)
+SELECT doc_id, domain, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages, CAST(count(*) AS INTEGER) AS page_count FROM t WHERE domain IN ('AE', 'DM', 'VS', 'RED') GROUP BY 1, 2""")
+def domain_index(spark, sf_dir):
+    texts = I.clean_annotations(D.annotations(spark, sf_dir))
+    none = spark.createDataFrame([], "doc_id string, page int, domain string")
+    return I.domain_index(texts, none, ["AE", "DM", "VS", "RED"]).select("doc_id", "domain", F.col("page_string").alias("pages"), "page_count")
+
+
+@query("""
+WITH t AS (SELECT source AS doc_id, trim(text) AS t FROM documents),
+w AS (SELECT doc_id, length(t) AS chars, len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) AS words FROM t),
+a AS (SELECT doc_id, round(avg(chars), 6) AS avg_chars, round(avg(words), 6) AS avg_words, round(avg(CASE WHEN chars > 50 THEN 1.0 ELSE 0.0 END), 6) AS text_share FROM w GROUP BY 1)
+SELECT *, avg_chars < 180 OR avg_words < 25 OR text_share < 0.3 AS is_flattened FROM a""")
+def text_layer_stats(spark, sf_dir):
+    docs = D.read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
+    return I.text_layer(docs).select("doc_id", *[F.round(c, 6).alias(c) for c in ("avg_chars", "avg_words", "text_share")], "is_flattened")
+
+
+@query(f"""
+WITH {D.ANNOTATIONS_SQL}, {D.CLEAN_SQL}, c AS (SELECT doc_id, page, CASE WHEN CAST(doc_id AS INTEGER) % 3 = 0 AND page % 2 = 0 THEN '' ELSE content END AS content FROM cleaned),
+a AS (SELECT doc_id, count(*) AS total_annots, count(*) FILTER (WHERE content <> '') AS readable_annots, count(*) FILTER (WHERE content <> '' AND NOT contains(upper(content), 'NOT SUBMITTED')) AS non_special_readable, count(DISTINCT page) FILTER (WHERE content <> '') AS pages_with_readable FROM c GROUP BY 1)
+SELECT *, round(readable_annots / total_annots, 6) AS readable_ratio, CASE WHEN readable_annots = 0 THEN 'annotation_flattened' WHEN readable_annots / total_annots >= 0.8 AND non_special_readable >= 5 THEN 'msg2_readable' ELSE 'partial_weak_annotation' END AS type_key FROM a""")
+def annotation_profile(spark, sf_dir):
+    rows = D.annotations(spark, sf_dir)
+    hidden = (F.col("doc_id").cast("int") % 3 == 0) & (F.col("page") % 2 == 0)
+    return I.annotation_profile(rows.withColumn("content", F.when(~hidden, F.col("content")))).withColumn("readable_ratio", F.round("readable_ratio", 6))
+
+
+@query(f"WITH {D.ANNOTATIONS_SQL}, c AS (SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN '' ELSE content END AS content FROM annotations) SELECT doc_id, count(*) FILTER (WHERE content <> '') AS with_content, count(*) AS annotations, round(count(*) FILTER (WHERE content <> '') / count(*), 6) AS coverage FROM c WHERE page <= 10 GROUP BY 1")
+def annotation_coverage(spark, sf_dir):
+    rows = D.annotations(spark, sf_dir)
+    return I.annotation_coverage(rows.withColumn("content", F.when(F.col("page") % 3 != 0, F.col("content")))).withColumn("coverage", F.round("coverage", 6))
+
+
+# --- two parsers
+
+_SIDES_SQL = """
+l AS (SELECT upper('t' || (o_custkey % 900) || CASE WHEN o_custkey % 90 = 0 THEN '' ELSE '' END) AS v, o_orderkey AS seq, [CAST(o_orderkey % 3 AS INTEGER), CAST(o_custkey % 3 AS INTEGER)] AS pages, CASE WHEN o_custkey % 4 = 0 THEN 'not_submitted' ELSE 'unknown' END AS category, 'a' || (o_orderkey % 2) AS raw FROM orders WHERE o_custkey % 5 <> 0),
+r AS (SELECT upper('T' || (o_custkey % 900)) AS v, o_orderkey AS seq, list_distinct([CAST(o_orderkey % 3 AS INTEGER), CAST(o_custkey % 3 AS INTEGER)]) || CASE WHEN o_custkey % 8 = 0 THEN [CAST(o_custkey % 3 AS INTEGER)] ELSE [] END AS pages, 'unknown' AS category, 'a' || (o_custkey % 2) AS raw FROM orders WHERE o_custkey % 7 <> 0),
+ll AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY v ORDER BY seq DESC) = 1), rl AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY v ORDER BY seq DESC) = 1),
+j AS (SELECT coalesce(ll.v, rl.v) AS Variable, ll.v IS NOT NULL AS hl, rl.v IS NOT NULL AS hr, coalesce(ll.pages, []) AS lp, coalesce(rl.pages, []) AS rp, ll.category AS lc, ll.raw AS lr, rl.raw AS rr, coalesce(ll.category, '') = 'not_submitted' AS bag FROM ll FULL JOIN rl ON ll.v = rl.v),
+k AS (SELECT *, list_sort(list_distinct(lp)) = list_sort(list_distinct(rp)) AS same_set, list_sort(lp) = list_sort(rp) AS same_bag FROM j),
+q AS (SELECT *, CASE WHEN hl AND hr AND same_set AND (NOT bag OR same_bag) THEN 'consensus' WHEN hl AND hr THEN 'page_mismatch' WHEN hl THEN 'pymupdf_only' ELSE 'opencv_only' END AS status,
+  array_to_string(CASE WHEN hl AND hr THEN list_sort(list_distinct(lp || rp)) WHEN hl THEN list_sort(lp) ELSE list_sort(rp) END, ',') AS PageString,
+  CAST(CASE WHEN hl AND hr THEN len(list_distinct(lp || rp)) WHEN hl THEN len(lp) ELSE len(rp) END AS INTEGER) AS PageCount,
+  CASE WHEN hl THEN lc ELSE 'unknown' END AS Category, CASE WHEN hl AND hr AND lr <> rr THEN lr || ' | ' || rr WHEN hl THEN lr ELSE rr END AS RawTexts,
+  array_to_string(list_sort(lp), ',') AS PyMuPDF_Pages, array_to_string(list_sort(rp), ',') AS OpenCV_Pages FROM k)"""
+
+
+def _sides(spark, sf_dir) -> R.Reconciliation:
+    o = D.read(spark, sf_dir, "orders")
+    both = F.array((F.col("o_orderkey") % 3).cast("int"), (F.col("o_custkey") % 3).cast("int"))
+    name = lambda p: F.concat(F.lit(p), (F.col("o_custkey") % 900).cast("string")).alias("variable")
+    raw = lambda c: F.array(F.concat(F.lit("a"), (F.col(c) % 2).cast("string"))).alias("raw_texts")
+    left = o.where("o_custkey % 5 <> 0").select(name("t"), F.col("o_orderkey").alias("seq"), both.alias("pages"), F.when(F.col("o_custkey") % 4 == 0, "not_submitted").otherwise("unknown").alias("category"), raw("o_orderkey"))
+    more = F.when(F.col("o_custkey") % 8 == 0, F.array((F.col("o_custkey") % 3).cast("int"))).otherwise(F.array().cast("array<int>"))
+    right = o.where("o_custkey % 7 <> 0").select(name("T"), F.col("o_orderkey").alias("seq"), F.concat(F.array_distinct(both), more).alias("pages"), F.lit("unknown").alias("category"), raw("o_custkey"))
+    return R.reconcile(left, right)
+
+
+@query(f"WITH {_SIDES_SQL} SELECT Variable, PageString, PageCount, PyMuPDF_Pages, OpenCV_Pages, Category, RawTexts FROM q WHERE status = 'consensus'")
+def parser_consensus(spark, sf_dir):
+    return _sides(spark, sf_dir).consensus
+
+
+@query(f"""WITH {_SIDES_SQL} SELECT Variable, PageString, PageCount, PyMuPDF_Pages, OpenCV_Pages, Category, RawTexts, CAST(len(lp) AS INTEGER) AS PyMuPDF_PageCount, CAST(len(rp) AS INTEGER) AS OpenCV_PageCount,
+  CASE WHEN bag AND same_set THEN 'occurrence_count_mismatch' WHEN bag AND NOT same_bag THEN 'page_or_occurrence_mismatch' ELSE 'page_set_mismatch' END AS MismatchReason FROM q WHERE status = 'page_mismatch'""")
+def parser_mismatch_reason(spark, sf_dir):
+    return _sides(spark, sf_dir).page_mismatch
+
+
+@query(f"WITH {_SIDES_SQL} SELECT Variable, PageString AS Pages, PageCount, Category, RawTexts FROM q WHERE status = 'pymupdf_only'")
+def parser_only_left(spark, sf_dir):
+    return _sides(spark, sf_dir).only("pymupdf")
+
+
+@query(f"WITH {_SIDES_SQL} SELECT Variable, PageString AS Pages, PageCount, Category, RawTexts FROM q WHERE status = 'opencv_only'")
+def parser_only_right(spark, sf_dir):
+    return _sides(spark, sf_dir).only("opencv")
+
+
+@query(f"WITH {_SIDES_SQL} SELECT count(*) FILTER (WHERE status = 'consensus') AS consensus_count, count(*) FILTER (WHERE status = 'page_mismatch') AS page_mismatch_count, count(*) FILTER (WHERE status = 'pymupdf_only') AS pymupdf_only_count, count(*) FILTER (WHERE status = 'opencv_only') AS opencv_only_count, count(*) FILTER (WHERE hl) AS total_pymupdf, count(*) FILTER (WHERE hr) AS total_opencv FROM q")
+def parser_summary(spark, sf_dir):
+    return _sides(spark, sf_dir).summary
+
+
+@query("SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE b AND NOT a) AS right_only FROM (SELECT p_brand, bool_or(p_size % 3 = 0 AND p_partkey % 2 = 0) AS a, bool_or(p_size % 5 = 0 AND p_partkey % 3 = 0) AS b FROM (SELECT upper(p_brand || p_size % 7) AS p_brand, p_size, p_partkey FROM part) GROUP BY 1)")
+def parser_name_overlap(spark, sf_dir):
+    p = D.read(spark, sf_dir, "part").withColumn("variable", F.concat("p_brand", (F.col("p_size") % 7).cast("string")))
+    return R.name_overlap(p.where("p_size % 3 = 0 and p_partkey % 2 = 0"), p.where("p_size % 5 = 0 and p_partkey % 3 = 0"))
+
+
+# --- boxes and readings
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey % 50 AS x, l_suppkey % 50 AS y, CAST(24 + l_quantity AS BIGINT) AS w, CAST(10 + l_linenumber * 4 AS BIGINT) AS h, l_partkey, l_suppkey FROM lineitem),
+p AS (SELECT a.k, a.n AS an, b.n AS bn, a.l_partkey AS ap, b.l_partkey AS bp, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS s FROM b a JOIN b b ON a.k = b.k AND a.n < b.n)
+SELECT k, an, bn, ap, bp, round(CAST(i AS DOUBLE) / (s - i), 6) AS iou FROM p""")
+def iou_pairs(spark, sf_dir):
+    rect = F.struct((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 50).alias("y"), (24 + F.col("l_quantity")).cast("long").alias("w"), (10 + F.col("l_linenumber") * 4).cast("long").alias("h"))
+    b = D.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", rect.alias("rect"))
+    pairs = b.alias("a").join(b.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
+    return pairs.select(F.col("a.l_orderkey").alias("k"), F.col("a.l_linenumber").alias("an"), F.col("b.l_linenumber").alias("bn"), F.col("a.l_partkey").alias("ap"), F.col("b.l_partkey").alias("bp"), F.round(B.iou(F.col("a.rect"), F.col("b.rect")), 6).alias("iou"))
+
+
+_ACCEPT_SQL = f"""
+WITH {D.BOXES_SQL}, m AS (SELECT *, 900000 AS page_area, 0.5e0 * w * h + 200 AS area, 4 AS corners, border_density / 4 AS dark_ratio FROM boxes),
+c AS (SELECT *, CASE WHEN source = 'color' THEN 0.50e0 * colored_ratio + 0.35e0 * fill_ratio + 0.15e0 * least(border_density * 8.0e0, 1.0e0) ELSE 0.65e0 * least(border_density * 6.0e0, 1.0e0) + 0.20e0 * least(fill_ratio * 1.8e0, 1.0e0) + 0.15e0 * least(dark_ratio * 10.0e0, 1.0e0) END AS conf FROM m),
+k AS (SELECT * FROM c WHERE area >= 120 AND w >= 24 AND h >= 10 AND w * h <= page_area * 0.18 AND NOT (w <= 26 AND h <= 26 AND area < 320) AND greatest(w, h) / least(w, h) <= 35 AND
+  CASE WHEN source = 'color' THEN fill_ratio >= 0.35 AND colored_ratio >= 0.40 AND conf >= 0.42 ELSE border_density >= 0.08 AND fill_ratio >= 0.08 AND dark_ratio >= 0.015 AND conf >= 0.34 END)"""
+
+
+def _accepted(spark, sf_dir):
+    b = D.boxes(spark, sf_dir)
+    measured = b.select("*", F.lit(900000).alias("page_area"), (F.lit(0.5) * F.col("rect.w") * F.col("rect.h") + 200).alias("area"), F.lit(4).alias("corners"), (F.col("border_density") / 4).alias("dark_ratio"))
+    return B.accept(measured)
+
+
+@query(_ACCEPT_SQL + "SELECT page, box_seq, CASE WHEN source = 'color' THEN CASE WHEN border_density >= 0.12 THEN 'solid_border' WHEN border_density >= 0.05 THEN 'dashed_border' ELSE 'colored_bg' END WHEN border_density >= 0.12 THEN 'border_only' ELSE 'dashed_border' END AS type, CAST(round(CAST(CAST(conf AS VARCHAR) AS DECIMAL(30, 20)), 3) AS DOUBLE) AS confidence FROM k")
+def box_accept(spark, sf_dir):
+    return _accepted(spark, sf_dir).select("page", "box_seq", "type", "confidence")
+
+
+@query(f"WITH {D.BOXES_SQL} SELECT page, box_seq FROM boxes QUALIFY row_number() OVER (PARTITION BY page ORDER BY fill_ratio DESC, box_seq) <= 38")
+def box_topn(spark, sf_dir):
+    return B.first_of(D.boxes(spark, sf_dir), ["page"], [F.desc("fill_ratio"), F.col("box_seq")], 38).select("page", "box_seq")
+
+
+@query(f"WITH {D.BOXES_SQL} SELECT page, box_seq FROM boxes WHERE fill_ratio < 0.5 AND NOT (h <= 14 AND w >= 180 AND w / greatest(1, h) >= 9.5 AND border_density < 0.30) QUALIFY row_number() OVER (PARTITION BY page ORDER BY box_seq) <= 8")
+def budget_rows(spark, sf_dir):
+    return B.first_of(B.readable(D.boxes(spark, sf_dir)).where("fill_ratio < 0.5"), ["page"], [F.col("box_seq")], B.EASYOCR_BUDGET).select("page", "box_seq")
+
+
+@query()
+def nms_boxes(spark, sf_dir):
+    return B.suppress(D.boxes(spark, sf_dir).withColumn("confidence", F.col("fill_ratio")), ["page"]).select("page", "kept_seq", "box_seq", "confidence")
+
+
+_UPPER = r"\b[A-Z][A-Z0-9]{1,7}"
+_SCORE_SQL = rf"""
+n AS (SELECT *, trim(regexp_replace(regexp_replace(text, '[\r\n]', ' ', 'g'), '\s{{2,}}', ' ', 'g')) AS t FROM readings),
+f AS (SELECT *, len(regexp_extract_all(t, '{_UPPER}\b')) AS uppers, len(regexp_extract_all(t, '{_UPPER}\s*(?:\(|=)')) AS labels, len(regexp_extract_all(t, '{_UPPER}(?:/[A-Z][A-Z0-9]{{1,7}})*\s*=')) AS assigns, regexp_matches(t, '\bSUPP[A-Z]{{2,8}}\b') AS supp,
+  len(regexp_extract_all(t, '(?i)\b(?:NOT\s+SUBMITTED|NOTSUBMITTED)\b')) AS ns, len(regexp_extract_all(t, '{_UPPER}/[A-Z][A-Z0-9]{{1,7}}\b')) AS slashes, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lowers, len(string_split_regex(t, '\s+')) AS words FROM n),
+s AS (SELECT *, CASE WHEN letters > 0 THEN lowers / letters ELSE 0 END AS ratio FROM f),
+scored AS (SELECT *, CASE WHEN t = '' THEN -10.0e0 ELSE round(uppers * 2.0e0 + labels * 4.0e0 + assigns * 4.5e0 + CASE WHEN supp THEN 3.0e0 ELSE 0 END + ns * 5.0e0 + slashes * 2.0e0 - ratio * 2.5e0 - CASE WHEN length(t) > 220 THEN least(6.0e0, (length(t) - 220) / 35.0e0) ELSE 0 END - CASE WHEN words > 22 THEN least(5.0e0, (words - 22) / 5.0e0) ELSE 0 END, 2) END AS score FROM s)"""
+
+
+@query(f"WITH {D.READINGS_SQL}, {_SCORE_SQL} SELECT cand_seq, score FROM scored")
+def ocr_score(spark, sf_dir):
+    return D.readings(spark, sf_dir).select("cand_seq", O.score(F.col("text")).alias("score"))
+
+
+@query(f"WITH {D.READINGS_SQL}, {_SCORE_SQL} SELECT cand_seq, t <> '' AND score >= 1.5 AND (ns > 0 OR supp OR assigns > 0 OR regexp_matches(t, '{_UPPER}\\s*\\(') OR (uppers >= 2 AND ratio <= 0.45) OR (uppers = 1 AND ratio <= 0.2 AND length(t) <= 14)) AS passes FROM scored")
+def ocr_gate(spark, sf_dir):
+    t = F.col("text")
+    return D.readings(spark, sf_dir).select("cand_seq", O.gate(t, O.score(t)).alias("passes"))
+
+
+_KNOWN = ["QNAM", "VSOTEST", "CD"]
+_QUALITY_SQL = rf"""
+tokens AS (SELECT cand_seq, unnest(regexp_extract_all(t, '\b([A-Z][A-Z0-9]{{1,7}})\s*=', 1)) AS token FROM n),
+sums AS (SELECT cand_seq, sum(CASE WHEN token IN ('QNAM', 'VSOTEST', 'CD') THEN 0.2e0 WHEN length(token) <= 4 THEN -0.9e0 ELSE -0.4e0 END) AS s FROM tokens GROUP BY 1),
+quality AS (SELECT n.cand_seq, CASE WHEN t = '' THEN -5.0e0 ELSE CASE WHEN regexp_matches(t, '\bQNAM\s*=') THEN 1.0e0 ELSE 0 END - CASE WHEN regexp_matches(t, '\b[A-Z]{{2,6}}\s+[A-Z]{{2,8}}\s*=') THEN 1.2e0 ELSE 0 END - CASE WHEN regexp_matches(t, '\b(?:QONAM|ONAM|INAM|JNAM|QDNAM)\s*=') THEN 1.0e0 ELSE 0 END + coalesce(s, 0) END AS adj FROM n LEFT JOIN sums USING (cand_seq))"""
+
+
+@query(f"WITH {D.READINGS_SQL}, {_SCORE_SQL}, {_QUALITY_SQL} SELECT cand_seq, round(adj, 6) AS adj FROM quality")
+def ocr_quality(spark, sf_dir):
+    return D.readings(spark, sf_dir).select("cand_seq", F.round(O.quality(F.col("text"), _KNOWN), 6).alias("adj"))
+
+
+@query(f"WITH {D.READINGS_SQL}, {_SCORE_SQL}, short AS (SELECT DISTINCT cand_seq FROM (SELECT cand_seq, unnest(regexp_extract_all(t, '\\b([A-Z][A-Z0-9]{{1,7}})\\s*=', 1)) AS token FROM n) WHERE length(token) <= 4 AND token NOT IN ('QNAM', 'VSOTEST', 'CD')) SELECT n.cand_seq, t <> '' AND (short.cand_seq IS NOT NULL OR regexp_matches(t, '\\b[A-Z]{{2,6}}\\s+[A-Z]{{2,8}}\\s*=') OR regexp_matches(t, '\\b(?:QONAM|ONAM|INAM|JNAM|QDNAM)\\s*=') OR (regexp_matches(t, '\\bSUPP[A-Z]{{2,8}}\\b') AND NOT regexp_matches(t, '\\bQNAM\\s*='))) AS second FROM n LEFT JOIN short USING (cand_seq)")
+def ocr_second_pass(spark, sf_dir):
+    return D.readings(spark, sf_dir).select("cand_seq", O.needs_second_pass(F.col("text"), _KNOWN).alias("second"))
+
+
+@query(f"""WITH {D.READINGS_SQL}, {_SCORE_SQL}, {_QUALITY_SQL},
+r AS (SELECT box, cand_seq, text, score, conf, adj, row_number() OVER (PARTITION BY box ORDER BY score DESC, length(text), cand_seq) AS rank, max(score) OVER (PARTITION BY box) AS top FROM scored JOIN quality USING (cand_seq)),
+k AS (SELECT * FROM r WHERE rank = 1 OR (rank = 2 AND top - score <= 1.0))
+SELECT box, cand_seq, text, round(score * 10.0e0 + conf + adj, 4) AS total FROM k QUALIFY row_number() OVER (PARTITION BY box ORDER BY round(score * 10.0e0 + conf + adj, 9) DESC, score DESC, conf DESC, length(text), rank) = 1""")
+def best_ocr_candidate(spark, sf_dir):
+    rows = D.readings(spark, sf_dir).withColumn("score", O.score(F.col("text"))).withColumn("adj", F.round(O.quality(F.col("text"), _KNOWN), 9))
+    return B.choose_reading(B.rank_quick(rows, ["box"]), ["box"]).select("box", "cand_seq", "text", F.round("total", 4).alias("total"))
+
+
+@query()
+def ocr_arbitration(spark, sf_dir):
+    t, other = F.col("text"), F.concat(F.lit("VSTESTCD="), F.upper("text"))
+    easy = O.pick_easyocr(t, other, F.col("conf"), _KNOWN)
+    best = O.pick_trocr(easy, F.regexp_replace(other, "AE", "QN"), _KNOWN)
+    return D.readings(spark, sf_dir).select("cand_seq", best.alias("chosen"), F.array_join(O.analysis_texts(best, t, other), " ## ").alias("analysed"))
+
+
+@query(f"WITH {D.READINGS_SQL} SELECT box, round(coalesce(avg(CASE WHEN conf - 0.3e0 >= 0 THEN conf - 0.3e0 END), 0), 6) AS mean_conf FROM readings GROUP BY 1")
+def mean_confidence(spark, sf_dir):
+    return B.mean_confidence(D.readings(spark, sf_dir).withColumn("conf", F.col("conf") - 0.3), ["box"]).withColumn("mean_conf", F.round("mean_conf", 6))
+
+
+_TOKENS_SQL = "t AS (SELECT DISTINCT upper(substr(p_name, 1, 4)) || (p_size % 30) AS token FROM part), v AS (SELECT DISTINCT upper(substr(p_name, 1, 4)) || (p_size % 30 + p_partkey % 2) || CASE WHEN p_partkey % 3 = 0 THEN 'X' ELSE '' END AS term FROM part WHERE p_partkey % 11 = 0)"
+
+
+def _tokens(spark, sf_dir):
+    p = D.read(spark, sf_dir, "part")
+    start = F.upper(F.substring("p_name", 1, 4))
+    tokens = p.select(F.concat(start, (F.col("p_size") % 30).cast("string")).alias("token"))
+    terms = p.where("p_partkey % 11 = 0").select(F.concat(start, (F.col("p_size") % 30 + F.col("p_partkey") % 2).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "X").otherwise("")).alias("term"))
+    return tokens, terms
+
+
+@query(f"WITH {_TOKENS_SQL}, m AS (SELECT token, term FROM t JOIN v ON abs(length(token) - length(term)) <= 1 AND levenshtein(token, term) <= 1) SELECT token, min(term) AS nearest FROM m GROUP BY 1 HAVING count(*) = 1")
+def nearest_unique_term(spark, sf_dir):
+    return C.nearest_unique(*_tokens(spark, sf_dir))
+
+
+@query(f"WITH {_TOKENS_SQL}, c AS (SELECT substr(token, 2) AS token FROM t UNION SELECT token FROM t) SELECT token, string_agg(term, ',' ORDER BY term) AS terms FROM c JOIN v ON substr(term, 2) = token GROUP BY 1")
+def leading_char_fix(spark, sf_dir):
+    tokens, terms = _tokens(spark, sf_dir)
+    lost = tokens.union(tokens.select(F.expr("substring(token, 2)")))
+    return C.leading_character(lost, terms).select("token", F.array_join("full", ",").alias("terms"))
+
+
+@query()
+def repair_text(spark, sf_dir):
+    variables = ["FACAT", "FAOBJ", "FAORRES", "QSCAT", "VSORRES", "VSORRESU", "RSSTAT", "DSTERM", "DSDECOD", "SUOCCUR", "SUSTRTPT", "QNAM", "VSTESTCD"]
+    heads = F.get(F.array(*map(F.lit, ["ACAT=CROHNS", "SORRES/VSORRESU when VSTESTCD=", "STERM when DSDECOD=", "ON AM=", "UOCCUR=Y FORMER "])), (F.col("p_partkey") % 5).cast("int"))
+    text = F.concat(heads, F.upper("p_brand"), F.when(F.col("p_size") % 2 == 0, " in SUPPAE").otherwise(""))
+    return D.read(spark, sf_dir, "part").select("p_partkey", text.alias("text"), repair(text, variables, ["DS", "VS"]).alias("repaired"))
+
+
+# --- reports
+
+_REPORT_SQL = """
+i AS (SELECT 'N' || p_partkey AS n, p_brand AS pages, CAST(p_size AS INTEGER) AS c, ['dataset_name', 'unknown', 'not_submitted', 'standard_variable'][CAST(p_partkey % 4 + 1 AS INTEGER)] AS category FROM part),
+rows AS (SELECT CASE category WHEN 'not_submitted' THEN 'NOT SUBMITTED' WHEN 'dataset_name' THEN 'Domain' ELSE 'Variable' END AS Classification, n AS Name, pages AS Pages, c AS PageCount, category AS Category, n || ' | r' AS RawTexts FROM i),
+alls AS (SELECT * FROM rows UNION ALL SELECT 'Domain', 'N' || s_suppkey, '1', 1, 'dataset_name', '' FROM supplier WHERE 'N' || s_suppkey NOT IN (SELECT Name FROM rows WHERE Classification = 'Domain'))"""
+
+
+def _report(spark, sf_dir):
+    p = D.read(spark, sf_dir, "part")
+    name = F.concat(F.lit("N"), F.col("p_partkey").cast("string"))
+    category = F.get(F.array(*map(F.lit, ["dataset_name", "unknown", "not_submitted", "standard_variable"])), (F.col("p_partkey") % 4).cast("int"))
+    index = p.select(name.alias("variable"), F.col("p_brand").alias("page_string"), F.col("p_size").cast("int").alias("page_count"), category.alias("category"), F.array(name, F.lit("r")).alias("raw_texts"))
+    domains = D.read(spark, sf_dir, "supplier").select(F.concat(F.lit("N"), F.col("s_suppkey").cast("string")).alias("domain"), F.lit("1").alias("page_string"), F.lit(1).alias("page_count"))
+    return index, domains
+
+
+@query(f"WITH {_REPORT_SQL} SELECT *, CAST(row_number() OVER (ORDER BY list_position(['Domain', 'Variable', 'NOT SUBMITTED'], Classification), Name) AS INTEGER) AS place FROM alls")
+def report_union_sorted(spark, sf_dir):
+    rows = report.result(*_report(spark, sf_dir))
+    # the place is asked for here to show the order, which the report's own sort gives without a window
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(report.class_rank(F.col("Classification")), "Name")))
+
+
+@query(f"WITH {_REPORT_SQL} SELECT * FROM rows WHERE Category = 'unknown' AND contains(lower(Name), lower('n1'))")
+def unmatched_search(spark, sf_dir):
+    return report.search(report.unmatched(report.result(_report(spark, sf_dir)[0])), "Name", "n1")
+
+
+@query(f"WITH {_REPORT_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE Category = 'not_submitted') AS not_submitted, count(*) FILTER (WHERE Category = 'unknown') AS unknown FROM alls")
+def report_metrics(spark, sf_dir):
+    return report.result_metrics(report.result(*_report(spark, sf_dir)))
+
+
+@query(f"WITH {D.ANNOTATIONS_SQL} SELECT doc_id, page, count(*) AS n FROM (SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN '' ELSE content END AS content FROM annotations) WHERE content = '' GROUP BY 1, 2")
+def annotations_without_text(spark, sf_dir):
+    rows = D.annotations(spark, sf_dir)
+    return I.need_ocr(rows.withColumn("content", F.when(F.col("page") % 3 != 0, F.col("content")))).groupBy("doc_id", "page").agg(F.count("*").alias("n"))

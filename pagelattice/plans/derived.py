@@ -67,7 +67,7 @@ def contract_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 # --- annotations: a text per line item
 
-VOCABULARY = {"dataset": ["AE", "DM", "VS", "BRASS", "TIN"], "variable": ["STEEL", "COPPER", "NICKEL", "QNAM"], "blacklist": ["SMALL", "LARGE"], "dataset_affixes": ["--", "SUPP--", "FA--", "PRO--"], "variable_affixes": ["--", "'--XFN", "STA--", "--ED"]}
+VOCABULARY = {"dataset": ["AE", "DM", "VS", "BOLT", "RING"], "variable": ["GEAR", "WIDGET", "QNAM"], "blacklist": ["SMALL", "LARGE"], "dataset_affixes": ["--", "SUPP--", "FA--", "PRO--"], "variable_affixes": ["--", "'--XFN", "STA--", "--ED"]}
 
 ANNOTATIONS_SQL = """
 annotations AS (
@@ -80,12 +80,12 @@ annotations AS (
       WHEN 3 THEN substr(w[1], 1, 2) || 'M (Label) and AE | ' || w[2]
       WHEN 4 THEN 'Not Submitted, NOTSUBMITTED ' || w[3]
       ELSE '( x ) ' || w[2] || '  ' || lower(w[1]) || ' ' || w[3] || ' in SUPPVS' END AS content
-  FROM lineitem JOIN (SELECT p_partkey, string_split(upper(p_type), ' ') AS w FROM part) ON p_partkey = l_partkey)"""
+  FROM lineitem JOIN (SELECT p_partkey, string_split(upper(p_type || ' ' || p_name), ' ') AS w FROM part) ON p_partkey = l_partkey)"""
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page, seq, content; seq is a struct that is different on every row and orders them."""
-    words = F.split(F.upper("p_type"), " ")
+    words = F.split(F.upper(F.concat_ws(" ", "p_type", "p_name")), " ")
     w1, w2, w3 = (F.get(words, F.lit(i)) for i in range(3))
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
     cat = lambda *p: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in p])
@@ -97,7 +97,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, cat("Not Submitted, NOTSUBMITTED ", w3))
         .otherwise(cat("( x ) ", w2, "  ", F.lower(w1), " ", w3, " in SUPPVS"))
     )
-    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
     seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return rows.select((F.col("l_orderkey") % 40).cast("string").alias("doc_id"), (F.col("l_suppkey") % 25 + 1).cast("int").alias("page"), seq.alias("seq"), content.alias("content"))
 
