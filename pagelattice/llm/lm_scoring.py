@@ -26,7 +26,7 @@ SIZE = CLASSES * MEMBERS
 #: 0 is padding; ids below NAMED are frequent words, the others buckets of hashed words.
 NAMED = SIZE - 512
 SIDE, DIM, HIDDEN = 2, 16, 32
-STRIDE, ROUNDS, BATCH = 16, 2, 2048
+STRIDE, ROUNDS, BATCH = 24, 2, 2048
 
 SHAPES = {"embed": (SIZE, 2 * SIDE * DIM), "hidden": (2 * SIDE * DIM, HIDDEN), "hidden0": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls0": (CLASSES,), "mem": (CLASSES, HIDDEN, MEMBERS), "mem0": (CLASSES, MEMBERS)}
 
@@ -76,6 +76,22 @@ class Encoder:
         return np.fromiter(map(self.memo.__getitem__, words), dtype=np.int32, count=len(words))
 
 
+def encoded(docs: DataFrame, words: dict[int, int], doc_id: str, text: str) -> DataFrame:
+    """doc_id and ids (2 bytes each) of every row, as a table: texts are read once for all rounds and the scoring."""
+    known = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(known.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.ids(t).astype("<u2").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+
+    return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary"), "lm-ids")
+
+
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u2").astype(np.int32)
+
+
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """ids padded with SIDE zeros at both ends; at: places in the padded ids. [place, neighbour]"""
     return np.stack([ids[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
@@ -110,6 +126,10 @@ def log_probabilities(m: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarra
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        s = np.exp(z) @ np.ones(z.shape[1], np.float32)
+    if np.isfinite(s).all() and s.all():
+        return np.log(s)
     top = z.max(axis=1)
     return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
 
@@ -170,19 +190,19 @@ def _unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, words: dict[int, int], text: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    spark: SparkSession = docs.sparkSession
-    model, known = initial(), spark.sparkContext.broadcast(words)
+def train(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """rows: the table of encoded()."""
+    spark: SparkSession = rows.sparkSession
+    model = initial()
     chunk = 1 << 15
     for r in range(rounds):
         start = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], r=r, start=start) -> Iterator[pa.RecordBatch]:
-            encoder, trainer, held, size, done = Encoder(known.value), Trainer(start.value), [], 0, 0
+            trainer, held, size, done = Trainer(start.value), [], 0, 0
             rng = np.random.default_rng(r)
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    ids = encoder.ids(t)
+                for ids in map(unpacked, b.column(0).to_pylist()):
                     if not len(ids):
                         continue
                     at = np.arange(SIDE + (len(ids) * 7 + r * STRIDE // rounds) % min(STRIDE, len(ids)), SIDE + len(ids), STRIDE)
@@ -201,7 +221,7 @@ def train(docs: DataFrame, words: dict[int, int], text: str, rounds: int = ROUND
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([done] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "salt", "n", "sums"])
 
         schema = "chunk int, salt int, n long, sums binary"
-        sent = written(docs.select(F.col(text).alias("text")).mapInArrow(run, schema), "lm-sums")
+        sent = written(rows.select("ids").mapInArrow(run, schema), "lm-sums")
         # added up in groups of about 64 tasks, then all groups of a part of the model
         tasks = max(1, sent.where("chunk = 0").count())
         sums = sent.withColumn("salt", F.pmod("salt", F.lit(-(-tasks // 64)))).groupBy("chunk", "salt").applyInArrow(lambda key, t: _added(t), schema).groupBy("chunk").applyInArrow(lambda key, t: _added(t), schema)
@@ -227,39 +247,36 @@ def _added(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def score(docs: DataFrame, words: dict[int, int], model: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, log_likelihood (the sum over all words; 0 without words), mean_log_likelihood (null without words).
-
-    A null or empty text has no words. Rows are scored each on its own, so repeated rows and null ids stay; an empty table gives an empty result; other columns are not read.
-    """
-    sc = docs.sparkSession.sparkContext
-    known, net = sc.broadcast(words), sc.broadcast(model)
+def score(rows: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """rows: the table of encoded(). Per row: doc_id, n_words, log_likelihood (the sum over all words; 0 without words), mean_log_likelihood (null without words)."""
+    net = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, m = Encoder(known.value), net.value
+        m, gap = net.value, np.zeros(SIDE, np.int32)
         for b in batches:
-            texts, n, total = b.column(1).to_pylist(), [], []
-            for i, j in slices(texts, 1 << 18):
-                ids = [encoder.ids(t) for t in texts[i:j]]
+            packed, n, total = b.column(1).to_pylist(), [], []
+            for i, j in slices(packed, 1 << 16):
+                ids = [unpacked(x) for x in packed[i:j]]
                 size = np.array([len(x) for x in ids])
-                gap = np.zeros(SIDE, np.int32)
                 flat = np.concatenate([gap, *(y for x in ids for y in (x, gap))])
-                begin = SIDE + np.cumsum(size + SIDE) - size - SIDE
                 row = np.repeat(np.arange(len(ids)), size)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + begin[row]
+                at = np.arange(len(row)) + SIDE * (row + 1)
                 p = log_probabilities(m, contexts(flat, at), flat[at]) if len(at) else np.empty(0)
                 n += size.tolist()
                 total += np.bincount(row, p, len(ids)).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])
 
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+    out = rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Trains on all documents and scores all of them."""
-    words = vocabulary(docs, text)
-    return score(docs, words, train(docs, words, text), doc_id, text)
+    """Trains on all documents and scores all of them: see score().
+
+    A null or empty text has no words. Rows are scored each on its own, so repeated rows and null ids stay; an empty table gives an empty result; other columns are not read.
+    """
+    rows = encoded(docs, vocabulary(docs, text), doc_id, text)
+    return score(rows, train(rows))
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
