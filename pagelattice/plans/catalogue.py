@@ -257,7 +257,14 @@ def candidates_masked(spark, sf_dir):
     return I.clean_annotations(D.annotations(spark, sf_dir)).select("doc_id", "page", "content", F.explode(X.candidates(F.col("content"), D.VOCABULARY["blacklist"])).alias("token"))
 
 
-@query()
+#: The words of each annotation's template, from which its pairs follow: DuckDB's patterns have no look-ahead.
+_TEMPLATE_SQL = """w AS (SELECT CAST(l_orderkey % 40 AS VARCHAR) AS doc_id, CAST(l_suppkey % 25 + 1 AS INTEGER) AS page, (l_orderkey + l_linenumber) % 6 AS kind, w
+  FROM lineitem JOIN (SELECT p_partkey, string_split(upper(p_type || ' ' || p_name), ' ') AS w FROM part) ON p_partkey = l_partkey)"""
+
+
+@query(f"""WITH {_TEMPLATE_SQL}, p AS (SELECT doc_id, page, w[2] AS variable, w[3] AS value FROM w WHERE kind = 0 UNION ALL SELECT doc_id, page, w[1], w[2] || ' DONE' FROM w WHERE kind = 1
+  UNION ALL SELECT doc_id, page, w[3], w[2] || ' DONE' FROM w WHERE kind = 1 UNION ALL SELECT doc_id, page, 'QNAM', w[3] FROM w WHERE kind = 2)
+SELECT *, variable || '=' || value AS pair FROM p""")
 def value_pairs(spark, sf_dir):
     rows = D.annotations(spark, sf_dir)
     return rows.select("doc_id", "page", F.explode(X.value_pairs(F.col("content"))).alias("p")).select("doc_id", "page", "p.variable", "p.value", "p.pair")
@@ -271,7 +278,7 @@ def supp_pairs(spark, sf_dir):
     return D.annotations(spark, sf_dir).select("doc_id", "page", F.explode(X.supp_pairs(F.col("content"))).alias("p")).select("doc_id", "page", "p.variable", "p.dataset")
 
 
-@query()
+@query(f"""WITH {_TEMPLATE_SQL} SELECT doc_id, page, 'QNAM' AS variable, 'SUPPAE' AS dataset FROM w WHERE kind = 2 UNION ALL SELECT doc_id, page, w[3], 'SUPPAE' FROM w WHERE kind = 2 UNION ALL SELECT doc_id, page, w[3], 'SUPPVS' FROM w WHERE kind = 5""")
 def ocr_supp_pairs(spark, sf_dir):
     return D.annotations(spark, sf_dir).select("doc_id", "page", F.explode(X.ocr_supp_pairs(F.col("content"))).alias("p")).select("doc_id", "page", "p.variable", "p.dataset")
 
@@ -348,6 +355,24 @@ def term_index(spark, sf_dir):
     return I.term_index(found).select("doc_id", "term", "page_string", "page_count", "category", "match_level", F.array_join("raw_texts", " | ").alias("raw_texts"))
 
 
+@query(f"""
+WITH {D.ANNOTATIONS_SQL}, {D.CLEAN_SQL},
+pairs AS (
+  SELECT doc_id, page, regexp_extract(content, ' when ([A-Z]+)=', 1) AS v, regexp_extract(content, '=([A-Z]+)$', 1) AS x FROM texts WHERE contains(content, ' when ')
+  UNION ALL SELECT doc_id, page, regexp_extract(content, '^([A-Z]+)/', 1), regexp_extract(content, '=(.*);', 1) FROM texts WHERE contains(content, 'DONE; next')
+  UNION ALL SELECT doc_id, page, regexp_extract(content, '/([A-Z]+)=', 1), regexp_extract(content, '=(.*);', 1) FROM texts WHERE contains(content, 'DONE; next')
+  UNION ALL SELECT doc_id, page, 'QNAM', regexp_extract(content, '=([A-Z]+) in', 1) FROM texts WHERE starts_with(content, 'QNAM=')),
+m AS (SELECT doc_id, page, content, regexp_replace(content, '(=\\s*)[A-Z0-9](?:[A-Z0-9\\s/\\-]{{0,79}}([A-Z0-9/\\-]))?', '\\1_\\2', 'g') AS masked FROM texts),
+tokens AS (SELECT doc_id, page, unnest(regexp_extract_all(masked, '\\b([A-Z][A-Z0-9]{{1,7}})\\b', 1)) AS term FROM m),
+parts AS (SELECT doc_id, page, unnest([regexp_extract(content, '([A-Z]+) in SUPP', 1), regexp_extract(content, ' in (SUPP[A-Z]+)', 1)]) AS term FROM texts WHERE contains(content, ' in SUPP')),
+terms AS (
+  SELECT doc_id, page, v || '=' || x AS term FROM pairs WHERE v NOT IN ('SMALL', 'LARGE')
+  UNION SELECT doc_id, page, term FROM tokens WHERE term NOT IN ('SMALL', 'LARGE') AND NOT list_contains({_STOP}, term) UNION SELECT doc_id, page, term FROM parts WHERE term NOT IN ('SMALL', 'LARGE'))
+SELECT doc_id, term, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages, CAST(count(*) AS INTEGER) AS page_count FROM terms GROUP BY 1, 2""")
+def term_index_pages(spark, sf_dir):
+    return I.term_index(_structural(spark, sf_dir)[1]).select("doc_id", "term", F.col("page_string").alias("pages"), "page_count")
+
+
 @query()
 def term_index_ocr(spark, sf_dir):
     texts = I.clean_annotations(D.annotations(spark, sf_dir))
@@ -500,7 +525,15 @@ def budget_rows(spark, sf_dir):
     return B.first_of(B.readable(D.boxes(spark, sf_dir)).where("fill_ratio < 0.5"), ["page"], [F.col("box_seq")], B.EASYOCR_BUDGET).select("page", "box_seq")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {D.BOXES_SQL}, o AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY fill_ratio DESC, box_seq) AS INTEGER) AS place, box_seq, fill_ratio AS confidence, {{{{'x': x, 'y': y, 'w': w, 'h': h}}}} AS rect FROM boxes),
+f AS (
+  SELECT page, 1 AS place, [{{{{'place': place, 'rect': rect}}}}] AS kept FROM o WHERE place = 1
+  UNION ALL SELECT o.page, o.place, CASE WHEN len(list_filter(f.kept, lambda k: _I / CAST(k.rect.w * k.rect.h + o.rect.w * o.rect.h - _I AS DOUBLE) > 0.45)) > 0 THEN f.kept ELSE list_append(f.kept, {{{{'place': o.place, 'rect': o.rect}}}}) END
+  FROM f JOIN o ON o.page = f.page AND o.place = f.place + 1),
+last AS (SELECT page, kept FROM f QUALIFY row_number() OVER (PARTITION BY page ORDER BY place DESC) = 1),
+k AS (SELECT page, unnest(kept[1:38]) AS k, unnest(range(1, least(len(kept), 38) + 1)) AS kept_seq FROM last)
+SELECT k.page, CAST(kept_seq AS INTEGER) AS kept_seq, o.box_seq, o.confidence FROM k JOIN o ON o.page = k.page AND o.place = k.k.place""".replace("{{", "{").replace("}}", "}").replace("_I", "(greatest(0, least(k.rect.x + k.rect.w, o.rect.x + o.rect.w) - greatest(k.rect.x, o.rect.x)) * greatest(0, least(k.rect.y + k.rect.h, o.rect.y + o.rect.h) - greatest(k.rect.y, o.rect.y)))"))
 def nms_boxes(spark, sf_dir):
     return B.suppress(D.boxes(spark, sf_dir).withColumn("confidence", F.col("fill_ratio")), ["page"]).select("page", "kept_seq", "box_seq", "confidence")
 
