@@ -41,8 +41,8 @@ def suppress(boxes: DataFrame, page: list[str], most_overlap: float = 0.45, most
     """
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), F.col("box_seq").alias("box_seq"), F.col("rect").alias("rect"), F.col("confidence").alias("confidence"))))
     rows = boxes.groupBy(*page).agg(ordered.alias("b"))
-    kept = F.aggregate("b", F.slice("b", 1, 0), lambda have, x: F.when(F.exists(have, lambda y: iou(x["rect"], y["rect"]) > most_overlap), have).otherwise(F.array_append(have, x)))
-    return rows.select(*page, F.posexplode(F.slice(kept, 1, most)).alias("i", "x")).select(*page, (F.col("i") + 1).alias("kept_seq"), "x.box_seq", "x.rect", "x.confidence")
+    kept = F.aggregate("b", F.slice("b", 1, 0), lambda have, x: F.when((F.size(have) >= most) | F.exists(have, lambda y: iou(x["rect"], y["rect"]) > most_overlap), have).otherwise(F.array_append(have, x)))
+    return rows.select(*page, F.posexplode(kept).alias("i", "x")).select(*page, (F.col("i") + 1).alias("kept_seq"), "x.box_seq", "x.rect", "x.confidence")
 
 
 def first_of(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -42,14 +42,14 @@ def _affixed(term: Column, affixes: list[str], skip_bare: bool) -> Column:
     return out
 
 
-def classify(term: Column, context: Column, vocabulary: Vocabulary, profile: str = "structural") -> Column:
+def classify(term: Column, context: Column, vocabulary: Vocabulary, profile: str = "structural", labels: Column | None = None) -> Column:
     """struct(category, match_level), by the first test that holds. profile 'ocr' skips bare affixes and takes any term beside a SUPP name as one of its variables.
 
-    A term before an opening parenthesis in the context names a data set; whole words decide, in any case.
+    A term before an opening parenthesis in the context names a data set; whole words decide, in any case. labels: these words, where they have been found before.
     """
     ocr = profile == "ocr"
     up, ctx = F.upper(term), F.coalesce(context, F.lit(""))
-    label = F.array_contains(X.paren_labels(ctx), up)
+    label = F.array_contains(X.paren_labels(ctx) if labels is None else labels, up)
     supp = F.get(X.found(ctx, r"(SUPP[A-Z]{2,8})"), F.lit(0))
     made = lambda c, m: F.struct((c if isinstance(c, Column) else F.lit(c)).alias("category"), F.lit(m).alias("match_level"))
     out = (
@@ -106,10 +106,14 @@ def _rank(c: Column, ranks: dict[str, int]) -> Column:
     return out
 
 
+def fold_order(category: Column, level: Column, seq: Column) -> Column:
+    """The largest of a term's classifications counts: the highest level, then the highest category rank, then the last; an unknown category never replaces one of its own level."""
+    return F.struct(_rank(level, LEVEL_RANKS).alias("level"), _rank(category, CATEGORY_RANKS).alias("category"), (category != "unknown").cast("int").alias("known"), seq.alias("seq"))
+
+
 def fold(category: Column, level: Column, seq: Column) -> tuple[Column, Column]:
-    """Aggregates for a term's category and level: the highest level, then the highest category rank, then the last; an unknown category never replaces one of its own level."""
-    known = (category != "unknown").cast("int")
-    order = F.struct(_rank(level, LEVEL_RANKS), _rank(category, CATEGORY_RANKS), known, seq)
+    """Aggregates for a term's category and level."""
+    order = fold_order(category, level, seq)
     return F.max_by(category, order), F.max_by(level, order)
 
 

@@ -36,8 +36,8 @@ def occurrences(texts: DataFrame, vocabulary: C.Vocabulary, profile: str = "stru
         F.transform(X.value_pairs(c), lambda p: F.struct(p["variable"].alias("lhs"), p["pair"].alias("term"), (F.lit(ocr) & (F.length(p["pair"]) > 0)).alias("whole"), F.lit(True).alias("is_pair"))),
         F.transform(names, lambda n: F.struct(n.alias("lhs"), n.alias("term"), (F.length(n) > 0).alias("whole"), F.lit(False).alias("is_pair"))),
     )
-    rows = texts.select("doc_id", "page", "seq", "content", F.posexplode(terms).alias("ord", "t")).select("doc_id", "page", "seq", "ord", "content", "t.*")
-    found = C.dataset_override(C.classify(F.col("lhs"), F.col("content"), vocabulary, profile), F.col("lhs"), vocabulary)
+    rows = texts.select("doc_id", "page", "seq", "content", X.paren_labels(c).alias("labels"), F.posexplode(terms).alias("ord", "t")).select("doc_id", "page", "seq", "ord", "content", "labels", "t.*")
+    found = C.dataset_override(C.classify(F.col("lhs"), F.col("content"), vocabulary, profile, F.col("labels")), F.col("lhs"), vocabulary)
     if ocr:
         found = F.when(F.col("is_pair"), found).otherwise(C.ocr_demotion(found, F.col("lhs"), F.col("content"), vocabulary))
     rows = rows.withColumn("found", found).where("found.category <> 'blacklist'")
@@ -51,11 +51,13 @@ def occurrences(texts: DataFrame, vocabulary: C.Vocabulary, profile: str = "stru
 def term_index(found: DataFrame) -> DataFrame:
     """Per document and term: sorted pages, raw texts in order of first sight, folded category and level."""
     at = F.struct("seq", "ord")
-    category, level = C.fold(F.col("category"), F.col("match_level"), at)
+    best = F.max(F.struct(C.fold_order(F.col("category"), F.col("match_level"), at).alias("order"), "category", "match_level"))
     # a text counts once, at its first place, before the texts of a term are gathered
-    texts = found.groupBy("doc_id", "term", "raw").agg(F.min(at).alias("first")).groupBy("doc_id", "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "raw"))), lambda r: r["raw"]).alias("raw_texts"))
-    rows = found.groupBy("doc_id", "term").agg(F.array_sort(F.collect_set("page")).alias("pages"), category.alias("category"), level.alias("match_level"))
-    return rows.join(texts, ["doc_id", "term"]).withColumn("page_string", P.format_pages(F.col("pages"))).withColumn("page_count", F.size("pages"))
+    rows = found.groupBy("doc_id", "term", "raw").agg(F.min(at).alias("first"), F.collect_set("page").alias("pages"), best.alias("best"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("first", "raw"))), lambda r: r["raw"])
+    rows = rows.groupBy("doc_id", "term").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.max("best").alias("best"), texts.alias("raw_texts"))
+    rows = rows.select("doc_id", "term", "pages", "best.category", "best.match_level", "raw_texts")
+    return rows.withColumn("page_string", P.format_pages(F.col("pages"))).withColumn("page_count", F.size("pages"))
 
 
 def domain_index(texts: DataFrame, found: DataFrame, datasets: list[str]) -> DataFrame:
