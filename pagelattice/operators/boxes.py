@@ -50,6 +50,11 @@ def first_of(rows: DataFrame, by: list[str], order: list[Column], n: int) -> Dat
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def per_page(rows: DataFrame, page: list[str]) -> DataFrame:
+    """Boxes of each page, by type: what a run has found."""
+    return rows.groupBy(*page).agg(F.count("*").alias("boxes"), *(F.count_if(F.col("type") == t).alias(t) for t in ("solid_border", "dashed_border", "colored_bg", "border_only")))
+
+
 #: How many boxes of a page the costly readers may take, and how many outlines are tried where few coloured boxes are found.
 EASYOCR_BUDGET, TROCR_BUDGET, EDGE_CONTOURS, FEW_COLORED = 8, 4, 180, 22
 

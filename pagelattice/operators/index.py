@@ -26,6 +26,15 @@ def need_ocr(annotations: DataFrame) -> DataFrame:
     return annotations.where(F.coalesce(X.strip(F.col("content")), F.lit("")) == "")
 
 
+def _snapped(rows: DataFrame, variables: list[str]) -> DataFrame:
+    """rows with lhs and term: names that are no variable but within one edit of just one become that one."""
+    known = rows.sparkSession.createDataFrame([(v,) for v in variables], "term string")
+    near = C.nearest_unique(rows.where(~F.col("lhs").isin(*variables)).select(F.col("lhs").alias("token")), known)
+    term = F.when(F.col("is_pair"), F.concat("nearest", F.expr("substring(term, length(lhs) + 1)"))).otherwise(F.col("nearest"))
+    joined = rows.join(near, rows["lhs"] == near["token"], "left")
+    return joined.withColumn("term", F.coalesce(term, "term")).withColumn("lhs", F.coalesce("nearest", "lhs")).drop("token", "nearest")
+
+
 def occurrences(texts: DataFrame, vocabulary: C.Vocabulary, profile: str = "structural") -> DataFrame:
     """doc_id, page, seq, ord, term, raw, category, match_level, domain: each pair and candidate of each text (content), classified; blacklisted ones left out."""
     ocr, c = profile == "ocr", F.col("content")
@@ -37,6 +46,8 @@ def occurrences(texts: DataFrame, vocabulary: C.Vocabulary, profile: str = "stru
         F.transform(names, lambda n: F.struct(n.alias("lhs"), n.alias("term"), (F.length(n) > 0).alias("whole"), F.lit(False).alias("is_pair"))),
     )
     rows = texts.select("doc_id", "page", "seq", "content", X.paren_labels(c).alias("labels"), F.posexplode(terms).alias("ord", "t")).select("doc_id", "page", "seq", "ord", "content", "labels", "t.*")
+    if ocr and vocabulary.exact_variable:
+        rows = _snapped(rows, vocabulary.exact_variable)
     found = C.dataset_override(C.classify(F.col("lhs"), F.col("content"), vocabulary, profile, F.col("labels")), F.col("lhs"), vocabulary)
     if ocr:
         found = F.when(F.col("is_pair"), found).otherwise(C.ocr_demotion(found, F.col("lhs"), F.col("content"), vocabulary))

@@ -515,6 +515,11 @@ def box_accept(spark, sf_dir):
     return _accepted(spark, sf_dir).select("page", "box_seq", "type", "confidence")
 
 
+@query(_ACCEPT_SQL + "SELECT page, count(*) AS boxes, count(*) FILTER (WHERE source = 'color' AND border_density >= 0.12) AS solid_border, count(*) FILTER (WHERE (source = 'color' AND border_density >= 0.05 AND border_density < 0.12) OR (source <> 'color' AND border_density < 0.12)) AS dashed_border, count(*) FILTER (WHERE source = 'color' AND border_density < 0.05) AS colored_bg, count(*) FILTER (WHERE source <> 'color' AND border_density >= 0.12) AS border_only FROM k GROUP BY 1")
+def boxes_per_page(spark, sf_dir):
+    return B.per_page(_accepted(spark, sf_dir), ["page"])
+
+
 @query(f"WITH {D.BOXES_SQL} SELECT page, box_seq FROM boxes QUALIFY row_number() OVER (PARTITION BY page ORDER BY fill_ratio DESC, box_seq) <= 38")
 def box_topn(spark, sf_dir):
     return B.first_of(D.boxes(spark, sf_dir), ["page"], [F.desc("fill_ratio"), F.col("box_seq")], 38).select("page", "box_seq")

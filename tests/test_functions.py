@@ -225,6 +225,12 @@ def test_term_index(spark):
     assert I.term_index(I.occurrences(texts, v, "ocr")).count() > 0
 
 
+def test_recognised_names_snap(spark):
+    texts = spark.createDataFrame([("d", 1, 1, "FACATT=X when FAORRES=Y")], "doc_id string, page int, seq int, content string")
+    found = I.occurrences(texts, C.Vocabulary([], ["FACAT", "FAORRES"], [], [], []), "ocr")
+    assert {(r["term"], r["category"]) for r in found.collect()} == {("FACAT=X", "standard_variable"), ("FAORRES=Y", "standard_variable"), ("FACAT", "standard_variable"), ("FAORRES", "standard_variable")}
+
+
 def test_page_spec(spark):
     assert one(spark, "11-30,35,40-42, x", "string", lambda c: gold.page_spec(c, F.lit(13))) == [11, 12, 13]
     assert one(spark, None, "string", lambda c: gold.page_spec(c, F.lit(13))) == []
