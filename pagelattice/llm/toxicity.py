@@ -61,17 +61,15 @@ class Machine:
 
 def select_terms(counts: np.ndarray, totals: np.ndarray, most: int, least: int = 4) -> np.ndarray:
     """The terms whose presence goes with the label most clearly, by the likelihood ratio. counts: [label, term] documents; totals: [label]."""
-    n = totals.sum()
-    df = counts.sum(axis=0)
+    often = np.flatnonzero(counts.sum(axis=0) >= least)
+    counts, n = counts[:, often].astype(np.float64), totals.sum()
+    df, ratio = counts.sum(axis=0), np.zeros(len(often))
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.zeros(counts.shape[1])
         for y in (0, 1):
             for have, of in ((counts[y], df), (totals[y] - counts[y], n - df)):
-                expected = totals[y] * of / n
-                ratio += np.where(have > 0, 2 * have * np.log(have / expected), 0)
-    ratio[df < least] = 0
+                ratio += np.where(have > 0, 2 * have * np.log(have * n / (totals[y] * of)), 0)
     clear = np.flatnonzero(ratio > 15)
-    return np.sort(clear[np.argsort(-ratio[clear], kind="stable")[:most]])
+    return np.sort(often[clear[np.argsort(-ratio[clear], kind="stable")[:most]]])
 
 
 def fit(rows: list[tuple[np.ndarray, int]], terms: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4) -> Machine:
