@@ -15,6 +15,7 @@ import os
 import re
 import sys
 from array import array
+from functools import lru_cache
 from itertools import islice
 
 import regex
@@ -121,3 +122,9 @@ class ChunkEncoder:
             head = self.make(parts[0]) if parts[0] else b""
             return head + b"".join(map(self.memo.__getitem__, islice(parts, 1, None)))
         return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@lru_cache(1)
+def shared_encoder(path: str) -> ChunkEncoder:
+    """One encoder per worker process, so that tasks go on with what earlier ones have learned."""
+    return ChunkEncoder(path)

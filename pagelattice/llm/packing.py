@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagelattice.llm.chunks import ChunkEncoder
+from pagelattice.llm.chunks import shared_encoder
 from pagelattice.llm.common import table, written
 
 CAPACITY = 2048
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     """The pieces of every document: doc_id, piece, start, length, ids_crc32. A null or empty text has the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ChunkEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for i, ids in zip(b.column(0).to_pylist(), map(encoder.encode, b.column(1).to_pylist()), strict=True):

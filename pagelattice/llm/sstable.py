@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelattice.llm.chunks import ChunkEncoder
+from pagelattice.llm.chunks import shared_encoder
 from pagelattice.llm.common import new_folder, table, text_bytes
 
 MAGIC = b"plSSTv01"
@@ -185,7 +185,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, end = ChunkEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         wide = encoder.tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         place, base = pafs.FileSystem.from_uri(folder)
         own, path = f"{base}/.{shard:07d}-{uuid.uuid4().hex}", f"{base}/{shard:07d}.sst"

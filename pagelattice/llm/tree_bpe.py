@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,6 +108,12 @@ class TreeEncoder:
         return self._tokens([(begin, s[begin:end])])[0]
 
 
+@lru_cache(1)
+def shared_encoder(path: str, leaf: int) -> TreeEncoder:
+    """One encoder per worker process, so that tasks go on with what earlier ones have learned."""
+    return TreeEncoder(path, leaf)
+
+
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 
 
@@ -118,7 +125,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, leaf: int = 4096, doc_id: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TreeEncoder(tokenizer, leaf)
+        encoder = shared_encoder(tokenizer, leaf)
         done = (lambda s: hashlib.sha256(s.encode()).hexdigest()) if digest else str
         for b in batches:
             cols: list[list] = [[], [], []]
