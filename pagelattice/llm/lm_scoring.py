@@ -5,8 +5,9 @@ softmax over classes times a softmax over the words of the class, so that a pred
 the conditional log-probabilities of all its words. The words known by name are the most frequent of the corpus, counted over all documents; the rest share
 hashed buckets; documents are padded at both ends.
 
-Training goes over all documents in rounds: each task walks through its own documents, every STRIDE-th word being a target (at places that differ by
-document), and sends its parameters; their averages, weighted by targets, start the next round. What is sent grows with the number of tasks, the model does not.
+Training goes over all documents in rounds: each task walks through its own documents and sends its parameters; their averages, weighted by targets,
+start the next round. The words of a document are dealt to the rounds in turn, so that the rounds together have every word as a target once. What is sent
+grows with the number of tasks, the model does not.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SIZE = CLASSES * MEMBERS
 #: 0 is padding; ids below NAMED are frequent words, the others buckets of hashed words.
 NAMED = SIZE - 512
 SIDE, DIM, HIDDEN = 2, 16, 32
-STRIDE, ROUNDS, BATCH = 24, 2, 2048
+ROUNDS, BATCH = 2, 2048
 
 SHAPES = {"embed": (SIZE, 2 * SIDE * DIM), "hidden": (2 * SIDE * DIM, HIDDEN), "hidden0": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls0": (CLASSES,), "mem": (CLASSES, HIDDEN, MEMBERS), "mem0": (CLASSES, MEMBERS)}
 
@@ -190,6 +191,11 @@ def _unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def places(n: int, r: int, rounds: int) -> np.ndarray:
+    """Targets of round r in a document of n words; all rounds together have each word once."""
+    return np.arange((n * 7 + r) % rounds, n, rounds)
+
+
 def train(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """rows: the table of encoded()."""
     spark: SparkSession = rows.sparkSession
@@ -205,7 +211,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
                 for ids in map(unpacked, b.column(0).to_pylist()):
                     if not len(ids):
                         continue
-                    at = np.arange(SIDE + (len(ids) * 7 + r * STRIDE // rounds) % min(STRIDE, len(ids)), SIDE + len(ids), STRIDE)
+                    at = SIDE + places(len(ids), r, rounds)
                     ids = np.pad(ids, SIDE)
                     held.append((contexts(ids, at), ids[at]))
                     size += len(at)
@@ -227,7 +233,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
         sums = sent.withColumn("salt", F.pmod("salt", F.lit(-(-tasks // 64)))).groupBy("chunk", "salt").applyInArrow(lambda key, t: _added(t), schema).groupBy("chunk").applyInArrow(lambda key, t: _added(t), schema)
         found = sorted(sums.collect(), key=lambda row: row["chunk"])
         if not found:
-            break
+            continue
         model = _unflat(np.concatenate([np.frombuffer(row["sums"]) / row["n"] for row in found]))
     return model
 

@@ -202,6 +202,20 @@ def test_lm_scores(spark, rows):
     assert lm_scoring.score_documents(docs.limit(0)).count() == 0
 
 
+def test_lm_trains_on_every_word(spark, rows, monkeypatch):
+    sent, write = [], lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "written", lambda df, name: (sent.append((name, t := write(df, name))), t)[1])
+    lm_scoring.score_documents(table(spark, rows))
+    targets = sum(r["n"] for name, t in sent if name == "lm-sums" for r in t.where("chunk = 0").collect())
+    assert targets == sum(len(t.split()) for _, t in rows if t)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_lm_rounds_share_out_the_words(rounds):
+    for n in range(8):
+        assert sorted(np.concatenate([lm_scoring.places(n, r, rounds) for r in range(rounds)]).tolist()) == list(range(n))
+
+
 def test_lm_score_is_a_sum_of_conditionals():
     rnd = np.random.default_rng(2)
     m = lm_scoring.initial()
