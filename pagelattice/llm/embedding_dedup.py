@@ -1,14 +1,16 @@
 """Operator 10, embedding near-dedup by sorted projection passes.
 
 1. Equal vectors of a label are one node with a count, so a vector with many copies is one row.
-2. In each pass every node has a key of concatenated random hashes, the signs of random projections. All passes are sorted together by (pass, label, key);
+2. In each pass every node has a key of concatenated random hashes, the signs of random projections of its vector less the mean of its label. All passes are sorted together by (pass, label, key);
    the order is cut into zones that overlap by the window, and each node is compared with the `window` nodes after it. A zone gives
    the verified pairs that join parts of it, no more than it has nodes.
-3. The components of these pairs over all passes are found by large-star and small-star.
+3. The components of these pairs over all passes are found by large-star and small-star. Rounds of more passes follow until one joins nothing that was apart.
 4. Within a component every node is compared with every other, tile by tile, for the exact number of links: so a group larger than the window loses none.
 
-At cosine 0.98 one sign differs with probability 0.064, so with a label of n nodes a pair is within the window in a pass with about
-0.936 ** log2(n / window); with 10 passes, 10,000 nodes and a window of 96 it is missed by all with 1e-5.
+At a distance from the mean of spread s (the mean square, 1 - |mean|^2 of unit vectors) a pair at the threshold c has cosine 1 - (1 - c) / s after centring, so one sign
+differs with probability q = arccos(that) / pi, and with a label of n nodes a pair is within the window in a pass with about (1 - q) ** log2(n / window). The passes of
+the first round are so many, label by label, that a pair is missed by all with MISSED, but at least PASSES, and no more than n / window, where comparing all would
+cost as much. The estimate takes a label as evenly spread; where it is not, the further rounds go on.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pagelattice.llm.common import table, written
 from pagelattice.llm.components import connected_components
 from pagelattice.llm.minhash_dedup import Forest
 
-PASSES, BITS, WINDOW = 10, 30, 96
+PASSES, BITS, WINDOW, MISSED = 10, 30, 96, 1e-5
 ZONE, TILE, BUNDLE = 8192, 1024, 4096
 
 
@@ -37,11 +39,56 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(x: np.ndarray) -> np.ndarray:
-    """[row, pass]: the signs of BITS random projections as a number."""
-    planes = np.random.default_rng(x.shape[1]).normal(size=(x.shape[1], PASSES * BITS))
-    bits = (x @ planes > 0).reshape(len(x), PASSES, BITS)
-    return (bits << np.arange(BITS, dtype=np.int64)[::-1]).sum(axis=2)
+def _keys(x: np.ndarray, k: int) -> np.ndarray:
+    """The signs of BITS random projections of pass k as a number, per row."""
+    planes = np.random.default_rng((x.shape[1], k)).normal(size=(x.shape[1], BITS))
+    return ((x @ planes > 0) << np.arange(BITS, dtype=np.int64)[::-1]).sum(axis=1)
+
+
+def passes_needed(n: int, spread: float, threshold: float, window: int) -> int:
+    """Passes of the first round for a label of n nodes: see above."""
+    near = 1 - (1 - threshold) / max(spread, 1e-9)
+    q = min(0.5, float(np.arccos(np.clip(near, -1, 1))) / np.pi)
+    hit = (1 - q) ** max(0.0, np.log2(max(n, 1) / max(window, 1)))
+    need = np.log(MISSED) / np.log1p(-hit) if hit < 1 else 1
+    return max(PASSES, int(min(np.ceil(need), -(-n // max(window, 1)))))
+
+
+def centres(nodes: DataFrame, threshold: float, window: int) -> DataFrame:
+    """label, dim, centre (the mean of the unit vectors of its nodes) and passes, of each label."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([x.tolist() for _, x in held.values()], pa.list_(pa.float64()))], names=["label", "dim", "n", "sums"])
+            held.clear()
+            return b
+
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for d in np.unique(dims):
+                same = b.filter(pa.array(dims == d))
+                x = _matrix(same.column("v"))
+                names, at = np.unique(np.array(same.column("label").to_pylist(), object), return_inverse=True)
+                order = np.argsort(at, kind="stable")
+                sums = np.add.reduceat(x[order], np.searchsorted(at[order], np.arange(len(names))), axis=0)
+                for name, n, total in zip(names.tolist(), np.bincount(at).tolist(), sums, strict=True):
+                    m, before = held.get((name, int(d)), (0, 0))
+                    held[name, int(d)] = m + n, before + total
+            if len(held) > 4096:
+                yield out()
+        if held:
+            yield out()
+
+    def whole(key: tuple, t: pa.Table) -> pa.Table:
+        n = sum(t["n"].to_pylist())
+        mean = np.sum([np.array(x) for x in t["sums"].to_pylist()], axis=0) / n
+        return pa.table({"label": pa.array([key[0].as_py()], pa.string()), "dim": pa.array([key[1].as_py()], pa.int32()), "centre": pa.array([mean.tolist()], pa.list_(pa.float64())), "passes": pa.array([passes_needed(n, 1 - float(mean @ mean), threshold, window)], pa.int32())})
+
+    sums = nodes.select("label", "dim", "v").mapInArrow(part, "label string, dim int, n long, sums array<double>")
+    # written, so that its size is known when it is joined
+    return written(sums.groupBy("label", "dim").applyInArrow(lambda key, t: whole(key, t), "label string, dim int, centre array<double>, passes int"), "projection-centres")
 
 
 def _window_pairs(x: np.ndarray, block: np.ndarray, window: int, threshold: float) -> list[tuple[int, int]]:
@@ -76,9 +123,13 @@ def links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, vec
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims):
                 part = b.filter(pa.array(dims == d))
-                keys = _keys(_matrix(part.column("v")))
-                for p in range(PASSES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), p, np.int32)), *(part.column(c) for c in ("label", "dim")), pa.array(keys[:, p]), part.column("id"), part.column("v")], names=["pass", "label", "dim", "key", "id", "v"])
+                x = _matrix(part.column("v")) - part.column("centre").flatten().to_numpy().reshape(len(part), -1)
+                begin, end = part.column("begin").to_numpy(), part.column("end").to_numpy()
+                for p in range(begin.min(), end.max()):
+                    now = (begin <= p) & (p < end)
+                    if now.any():
+                        rows = part.filter(pa.array(now))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), p, np.int32)), *(rows.column(c) for c in ("label", "dim")), pa.array(_keys(x[now], p)), rows.column("id"), rows.column("v")], names=["pass", "label", "dim", "key", "id", "v"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -92,13 +143,6 @@ def links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, vec
     schema = T.StructType().add("pass", "integer").add("label", "string").add("dim", "integer").add("key", "long").add("id", "long").add("v", kind)
     order = ["pass", "label", "dim", "key", "id"]
     ranked_schema = T.StructType([*schema.fields]).add("part", "integer").add("at", "long")
-    spread = nodes.mapInArrow(expand, schema).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, ranked_schema)
-    spread = written(spread, "projection-order")
-    # one row per partition
-    before = spread.groupBy("part").agg(F.count("*").alias("rows")).withColumn("base", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = spread.join(before.select("part", "base"), "part").withColumn("rank", F.col("base") + F.col("at"))
-    zone = F.floor(F.col("rank") / ZONE)
-    zoned = ranked.withColumn("zone", F.explode(F.when((F.col("rank") % ZONE < window) & (zone > 0), F.array(zone, zone - 1)).otherwise(F.array(zone))))
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("rank").combine_chunks()
@@ -112,8 +156,32 @@ def links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, vec
                 b.append(ids[at[q]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    pairs = zoned.groupBy("zone").applyInArrow(lambda key, t: compare(t), "a long, b long")
+    centred = nodes.join(centres(nodes, threshold, window), ["label", "dim"])
+
+    def compared(r: int) -> DataFrame:
+        """The pairs of round r: the passes of the label in round 0, PASSES others in each further round."""
+        begin, end = (F.lit(0), F.col("passes")) if r == 0 else (F.col("passes") + (r - 1) * PASSES, F.col("passes") + r * PASSES)
+        spread = centred.select("label", "dim", "id", "v", "centre", begin.alias("begin"), end.alias("end")).mapInArrow(expand, schema).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, ranked_schema)
+        spread = written(spread, "projection-order")
+        # one row per partition
+        before = spread.groupBy("part").agg(F.count("*").alias("rows")).withColumn("base", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        ranked = spread.join(before.select("part", "base"), "part").withColumn("rank", F.col("base") + F.col("at"))
+        zone = F.floor(F.col("rank") / ZONE)
+        zoned = ranked.withColumn("zone", F.explode(F.when((F.col("rank") % ZONE < window) & (zone > 0), F.array(zone, zone - 1)).otherwise(F.array(zone))))
+        return written(zoned.groupBy("zone").applyInArrow(lambda key, t: compare(t), "a long, b long"), "projection-pairs")
+
+    pairs = compared(0)
     parts = written(connected_components(pairs, "a", "b"), "projection-parts")
+    r, more = 0, not pairs.isEmpty()
+    while more:
+        r += 1
+        found = compared(r)
+        one, two = (parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}")) for c in ("a", "b"))
+        apart = found.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+        more = not apart.isEmpty()
+        if more:
+            pairs = pairs.union(found)
+            parts = written(connected_components(pairs, "a", "b"), "projection-parts")
 
     # exact numbers of links within components; nodes alone in theirs have none
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))

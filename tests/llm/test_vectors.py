@@ -76,6 +76,26 @@ def test_links(spark, tile, zone, window, monkeypatch):
     assert got == {i: (int(link[i].sum()), int(part[i]), bool(part[i] == i)) for i in range(len(every))} | {i: (0, i, True) for i, _, _ in odd}
 
 
+def test_links_in_a_crowded_label(spark):
+    rnd = np.random.default_rng(8)
+    n, dim = 2000, 64
+    # mean cosine 0.85 within the label; each of the last 100 is a near copy of one of the first
+    x = rnd.normal(size=(n, dim)) * np.sqrt(0.15 / dim)
+    x[:, 0] += np.sqrt(0.85)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rnd.normal(size=(100, dim))
+    x[-100:] = x[:100] + off / np.linalg.norm(off, axis=1, keepdims=True) * 0.19
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.links(table(spark, [(i, v.tolist(), 1) for i, v in enumerate(x.astype(np.float32))]), window=4).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.98 + 1e-6, 1))
+    assert len(a) >= 95 and all(got[int(i)] == got[int(j)] for i, j in zip(a, b, strict=True))
+
+
+def test_passes_follow_size_and_spread():
+    need = [embedding_dedup.passes_needed(n, s, 0.98, 96) for n, s in ((90, 1.0), (10_000, 1.0), (1_000_000, 1.0), (1_000_000, 0.3))]
+    assert need[0] == embedding_dedup.PASSES and need[1] < need[2] < need[3]
+
+
 def test_links_of_odd_rows(spark):
     v = [1.0, 2.0]
     got = embedding_dedup.links(table(spark, [(7, v, 1), (7, v, 1), (3, v, 1), (None, v, 1)])).collect()
