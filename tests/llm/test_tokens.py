@@ -76,14 +76,24 @@ def test_token_counts(spark, tokenizer_path, pieces):
     assert token_counts.prefix_counts(documents(spark, ["ab", None]), tokenizer_path("piece_bpe_32k.model")).orderBy("doc_id").first()["prefix_counts"] == [len(pieces.encode("ab"[:i])) for i in range(3)]
 
 
-@pytest.mark.parametrize("leaf", [5, 16, 40, 4096])
+#: Marks that reorder and compose, Hangul by letters, parts of special strings, and strings that the cutting pattern treats apart.
+MARKS = ["a", "b", "the", "\u0301", "\u0323", "\u0345", "\u0130", "e", "\u1100", "\u1161", "\u11a8", "\ud55c", "\uac00", "\u65e5", "<|endoftext|>", "<|endof", "'s", "'", "'re", "!!", "1", "ing", "\u03a3", "\u0cc6", "\u0cc2", "\u09c7", "\u09be", "\u200d", "\u304b", "\u3099", "\U0001f600"]
+
+
+@pytest.mark.parametrize("leaf", [16, 64, 2048, 4096])
 def test_tree_like_the_library(tokenizer_path, leaf):
     library, own = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), tree_bpe.TreeEncoder(tokenizer_path("word_bpe_49k.json"), leaf)
     solid = [t.replace(" ", "").replace("\n", "") for t in some_texts(300, 2, 200)]
-    for t in some_texts(300, 1, 200) + solid + [t or "" for t in TEXTS]:
-        ids = library.encode(t, add_special_tokens=False).ids
-        n, numbers, tokens = own.encode(t)
-        assert (n, " ".join(numbers), " ".join(tokens)) == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), t
+    rnd = random.Random(leaf)
+    marks = ["".join(rnd.choice(MARKS + spaces) for _ in range(rnd.randint(0, 200))) for spaces in ([], [" "] * 9 + ["\n", "  "]) for _ in range(500)]
+    # long stretches of marks that reorder, and of letters that no rule splits
+    long = ["".join(random.Random(seed).choice("e\u0323\u0301") for _ in range(12_000)) for seed in (64, 95, 295, 302, 305)] + ["".join(rnd.choice(MARKS) for _ in range(9_000)) for _ in range(5)] + ["".join(rnd.choice("abcde") for _ in range(9_000))]
+    texts = some_texts(300, 1, 200) + solid + marks + long + [t or "" for t in TEXTS]
+    joins = 0
+    for t, want, (ids, n) in zip(texts, library.encode_batch(texts, add_special_tokens=False), own.encode_all(texts), strict=True):
+        assert list(ids) == want.ids, (t[:100], len(t))
+        joins += n
+    assert joins >= len(long)
 
 
 def test_encode_decode(spark, tokenizer_path):
@@ -93,6 +103,27 @@ def test_encode_decode(spark, tokenizer_path):
         assert (r["ids"], r["decoded"]) == (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
 
 
+def test_real_texts_go_through_the_tree(spark, tokenizer_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    joins = 0
+    for r in tree_bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json")).collect():
+        assert r["ids"] == " ".join(map(str, library.encode(texts[r["doc_id"]], add_special_tokens=False).ids))
+        joins += r["n_joins"]
+    assert joins > 100
+
+
+@pytest.mark.parametrize("run", [lambda d, path: token_counts.token_counts(d, path("piece_bpe_32k.model")), lambda d, path: tree_bpe.encode_decode(d, path("word_bpe_49k.json"))])
+def test_odd_tables_of_tokens(spark, tokenizer_path, run):
+    """Null ids, repeated rows, columns with clashing names, and an empty table."""
+    names = "doc_id long, text string, n_tokens string, ids string, n_joins string, n_bytes string, lang string"
+    odd = spark.createDataFrame([(1, "one two", "x", "x", "x", "x", "x"), (1, "one two", "x", "x", "x", "x", "x"), (None, "one", None, None, None, None, None), (2, None, None, None, None, None, None)], names)
+    out = sorted(((r["doc_id"] or 0), r["n_tokens"]) for r in run(odd, tokenizer_path).collect())
+    assert [i for i, _ in out] == [0, 1, 1, 2] and out[1] == out[2] and out[3] == (2, 0)
+    assert run(odd.limit(0), tokenizer_path).count() == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(capacity=st.integers(1, 40), data=st.data())
 def test_plan(capacity, data):
