@@ -103,6 +103,16 @@ def _window_pairs(x: np.ndarray, block: np.ndarray, window: int, threshold: floa
     return out
 
 
+def deal_tiles(inside: DataFrame, bundle: int = BUNDLE) -> DataFrame:
+    """Every pair (a, b) of tiles of a component as the rows that ask (tile a) and those that answer (tile b), in bundles of about `bundle` rows: there are as many bundles as
+    the rows dealt ask for, so no task's share grows with a component."""
+    rows = inside.agg(F.sum(2 * F.col("tiles").cast("long"))).first()[0] or 0
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    asks = inside.select("node", "component", "n", "v", "label", F.col("tile").alias("a"), other.alias("b"), F.lit(True).alias("asks"))
+    answers = inside.select("node", "component", "n", "v", "label", other.alias("a"), F.col("tile").alias("b"), F.lit(False).alias("asks"))
+    return asks.union(answers).withColumn("bundle", F.pmod(F.xxhash64("component", "a", "b"), F.lit(max(1, -(-rows // bundle)))))
+
+
 def links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """Per row: vec_id, n_links (other rows linked directly), component_id, kept. Rows are linked where labels are equal and the cosine is at least `threshold`.
 
@@ -187,11 +197,7 @@ def links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, vec
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
     inside = nodes.join(parts.join(sizes, "component"), "id").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.col("node"), F.col("tiles")).cast("int"))
     inside = written(inside.select("node", "component", "n", "v", "label", "tile", "tiles"), "projection-inside")
-    bundles = max(1, -(-inside.count() // BUNDLE))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    asks = inside.select("node", "component", "n", "v", "label", F.col("tile").alias("a"), other.alias("b"), F.lit(True).alias("asks"))
-    answers = inside.select("node", "component", "n", "v", "label", other.alias("a"), F.col("tile").alias("b"), F.lit(False).alias("asks"))
-    dealt = asks.union(answers).withColumn("bundle", F.pmod(F.xxhash64("component", "a", "b"), F.lit(bundles)))
+    dealt = deal_tiles(inside)
 
     def count(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()

@@ -20,7 +20,6 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,7 +94,7 @@ class TreeEncoder:
 
     def leaves(self, texts: list[str]) -> list[Node]:
         """Each text as one node. What no fast way can encode goes to the library in one parallel call."""
-        memo, make = self.chunks.memo, self.chunks.make
+        memo = self.chunks.memo
         found, todo = [], []
         for text in texts:
             parts = text.replace("\n", " ").split(" ")
@@ -110,7 +109,7 @@ class TreeEncoder:
             found.append((parts, ids))
         later: dict[int, dict[int, list]] = {}
         for (i, j, p), e in zip(todo, self._by_library([p for _, _, p in todo]), strict=True):
-            later.setdefault(i, {})[j] = self._units(p, 0, len(p), e)
+            later.setdefault(i, {})[j] = self._units(p, e)
         out = []
         for i, (parts, ids) in enumerate(found):
             lengths = [len(p) + 1 for p in parts]
@@ -132,18 +131,16 @@ class TreeEncoder:
             out.append(Node(0, len(texts[i]), lengths, ids))
         return out
 
-    def _units(self, s: str, a: int, b: int, e) -> list[tuple[int, bytes]]:
-        """The characters a..b of an encoded string as units: cut before tokens that no token crosses into and that normalisation leaves alone."""
+    def _units(self, s: str, e) -> list[tuple[int, bytes]]:
+        """An encoded stretch without white space as units: cut before tokens that no token crosses into and that normalisation leaves alone."""
         ids, spans = e.ids, e.offsets
         cuts, reach = [], 0
         for k, (x, y) in enumerate(spans):
-            if reach <= x and a < x < b and (s[x - 1] in " \n" or starts_anew(s[x])):
+            if 0 < x and reach <= x and starts_anew(s[x]):
                 cuts.append((x, k))
             reach = max(reach, y)
-        first = next((k for k, (x, _) in enumerate(spans) if x >= a), len(ids))
-        last = next((k for k in range(first, len(ids)) if spans[k][0] >= b), len(ids))
-        at, k, out = a, first, []
-        for x, j in [*cuts, (b, last)]:
+        at, k, out = 0, 0, []
+        for x, j in [*cuts, (len(s), len(ids))]:
             out.append((x - at, array("I", ids[k:j]).tobytes()))
             at, k = x, j
         return out
@@ -155,7 +152,7 @@ class TreeEncoder:
         a, b = cut - sum(left.lengths[i:]), cut + sum(right.lengths[:j])
         ids, spans = window.ids, window.offsets
         begins = {}  # place of a clean token boundary in the window -> number of tokens before it
-        reach, at = 0, 0
+        reach = 0
         for k, (x, y) in enumerate(spans):
             if reach <= x:
                 # white space between two tokens is on either side

@@ -96,6 +96,16 @@ def test_passes_follow_size_and_spread():
     assert need[0] == embedding_dedup.PASSES and need[1] < need[2] < need[3]
 
 
+def test_tiles_are_dealt_evenly(spark):
+    """One component of 40 tiles and many small ones: no bundle holds much more than the others, whatever the component's size."""
+    rows = [(i, 0, 1, [1.0], "a", i % 40, 40) for i in range(4000)] + [(10_000 + i, 1 + i // 2, 1, [1.0], "a", 0, 1) for i in range(400)]
+    inside = spark.createDataFrame(rows, "node long, component long, n long, v array<float>, label string, tile int, tiles int")
+    dealt = embedding_dedup.deal_tiles(inside, bundle=400)
+    sizes = [r["count"] for r in dealt.groupBy("bundle").count().collect()]
+    assert sum(sizes) == 2 * (4000 * 40 + 400) and max(sizes) <= 10 * 400
+    assert dealt.where("component = 0").groupBy("a", "b").count().count() == 1600
+
+
 def test_links_of_odd_rows(spark):
     v = [1.0, 2.0]
     got = embedding_dedup.links(table(spark, [(7, v, 1), (7, v, 1), (3, v, 1), (None, v, 1)])).collect()
