@@ -1,44 +1,66 @@
 """Operator 8, masked pseudo-likelihood scoring with a bidirectional window network.
 
-Every word is predicted from the SIDE words before and after it: their vectors, one set for each place, go through a hidden layer, and the output is a
+Every word is predicted from the SIDE words before and after it: each of them has, for each of the four places, a row of weights into one hidden layer, and the output is a
 softmax over classes times a softmax over the words of the class, so that a prediction costs two small softmaxes. The score of a document is the sum of
-the conditional log-probabilities of all its words. The words known by name are the most frequent of the corpus, counted over all documents; the rest share
-hashed buckets; documents are padded at both ends.
+the conditional log-probabilities of all its words; documents are padded at both ends.
+
+The words known by name are the most frequent of the corpus, counted over all documents; their number grows with the cube root of its words, and with it the network. The other
+words share hashed buckets, an eighth as many; a word has an equal share of its bucket's probability, by the number of distinct words that the corpus has in the bucket.
 
 Training goes over all documents in rounds: each task walks through its own documents and sends its parameters; their averages, weighted by targets,
 start the next round. The words of a document are dealt to the rounds in turn, so that the rounds together have every word as a target once. What is sent
-grows with the number of tasks, the model does not.
+grows with the number of tasks and the size of the network.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import Memo, slices, table, word_hashes, written
 
-CLASSES = MEMBERS = 64
-SIZE = CLASSES * MEMBERS
-#: 0 is padding; ids below NAMED are frequent words, the others buckets of hashed words.
-NAMED = SIZE - 512
-SIDE, DIM, HIDDEN = 2, 16, 32
-ROUNDS, BATCH = 2, 2048
+#: Words known by name are this many times the cube root of all words of the corpus: about 4,200 of 26 million, 300,000 of ten trillion.
+NAMED_BY_ROOT = 14
+SIDE, HIDDEN = 2, 24
+ROUNDS, BATCH, RATE = 2, 8192, 0.1
+
+
+@dataclass(frozen=True)
+class Words:
+    """known: id (from 1) of the hash of each word known by name, the most frequent first; log_share: for each bucket the logarithm of 1 / its distinct words;
+    side: classes of the output, and words in each. Id 0 is padding, the ids behind the known ones are buckets."""
+
+    known: dict[int, int]
+    log_share: np.ndarray
+    side: int
+
+    @property
+    def first_bucket(self) -> int:
+        return self.side * self.side - len(self.log_share)
+
+    def id(self, h: int) -> int:
+        return self.known.get(h) or self.first_bucket + h % len(self.log_share)
 
-SHAPES = {"embed": (SIZE, 2 * SIDE * DIM), "hidden": (2 * SIDE * DIM, HIDDEN), "hidden0": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls0": (CLASSES,), "mem": (CLASSES, HIDDEN, MEMBERS), "mem0": (CLASSES, MEMBERS)}
 
+def named_words(n: int) -> int:
+    return max(64, int(np.ceil(NAMED_BY_ROOT * n ** (1 / 3))))
 
-def initial() -> dict[str, np.ndarray]:
+
+def initial(side: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(3)
-    return {k: (rng.normal(0, 0.1, s) if len(s) > 1 and k != "mem0" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    shapes = {"embed": (2 * SIDE, side * side, HIDDEN), "hidden0": (HIDDEN,), "cls": (HIDDEN, side), "cls0": (side,), "mem": (side, side, HIDDEN), "mem0": (side, side)}
+    return {k: (rng.normal(0, 0.1, s) if not k.endswith("0") else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
 
 
-def vocabulary(docs: DataFrame, text: str) -> dict[int, int]:
-    """Id of the hash of each of the most frequent words, counted over all texts; ties to the smaller hash."""
+def vocabulary(docs: DataFrame, text: str) -> Words:
+    """The words of all texts, counted; of equally frequent ones the smaller hash is known first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -58,39 +80,50 @@ def vocabulary(docs: DataFrame, text: str) -> dict[int, int]:
         if held:
             yield out()
 
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # a fixed number of rows
-    return {r["word"]: i + 1 for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(NAMED - 1).collect())}
+    counts = written(docs.select(F.col(text).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    most = named_words(int(counts.agg(F.sum("n")).first()[0] or 0))
+    side = int(np.ceil(np.sqrt(1 + most + -(-most // 8))))
+    buckets = -(-most // 8)
+    # as many rows as words are known; the id 0 is padding
+    known = {r["word"]: i + 1 for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(side * side - buckets - 1).collect())}
+    # as many rows as there are buckets: the words in each, then without the known ones
+    distinct = np.zeros(buckets, np.int64)
+    for r in counts.groupBy(F.pmod("word", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n")).collect():
+        distinct[r["bucket"]] = r["n"]
+    for h in known:
+        distinct[h % buckets] -= 1
+    return Words(known, -np.log(np.maximum(distinct, 1)), side)
 
 
 class Encoder:
-    def __init__(self, words: dict[int, int]):
+    def __init__(self, words: Words):
         self.words = words
         self.memo = Memo(self._id, 300_000)
 
     def _id(self, word: bytes) -> int:
-        h = int(word_hashes([word]).view(np.int64)[0])
-        return self.words.get(h) or NAMED + h % (SIZE - NAMED)
+        h = xxhash.xxh3_64_intdigest(word)
+        return self.words.id(h - (1 << 64) if h >> 63 else h)
 
     def ids(self, text: str | None) -> np.ndarray:
         words = text.encode().split() if text else []
-        return np.fromiter(map(self.memo.__getitem__, words), dtype=np.int32, count=len(words))
+        return np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint32, count=len(words))
 
 
-def encoded(docs: DataFrame, words: dict[int, int], doc_id: str, text: str) -> DataFrame:
-    """doc_id and ids (2 bytes each) of every row, as a table: texts are read once for all rounds and the scoring."""
+def encoded(docs: DataFrame, words: Words, doc_id: str, text: str) -> DataFrame:
+    """doc_id and ids (4 bytes each) of every row, as a table: texts are read once for all rounds and the scoring."""
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(known.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.ids(t).astype("<u2").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.ids(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
     return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary"), "lm-ids")
 
 
-def unpacked(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u2").astype(np.int32)
+def unpacked(ids: bytes, side: int) -> np.ndarray:
+    """The ids, in two bytes each where they fit: such columns are sorted in linear time."""
+    return np.frombuffer(ids, "<u4").astype(np.uint16 if side <= 256 else np.int32)
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -98,34 +131,22 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([ids[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def hidden(m: dict, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.empty((len(ctx), 2 * SIDE * DIM), np.float32)
-    for j in range(2 * SIDE):
-        x[:, j * DIM : (j + 1) * DIM] = m["embed"][ctx[:, j], j * DIM : (j + 1) * DIM]
-    return x, np.tanh(x @ m["hidden"] + m["hidden0"])
+def hidden(m: dict, ctx: np.ndarray) -> np.ndarray:
+    h = m["embed"][0][ctx[:, 0]]
+    for j in range(1, 2 * SIDE):
+        h += m["embed"][j][ctx[:, j]]
+    h += m["hidden0"]
+    return np.tanh(h, out=h)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    np.exp(z - z.max(axis=1, keepdims=True), out=z)
+    """In place; scores over 60 count as 60, which exp can hold."""
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
 
 
-def log_probabilities(m: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(target | context), each. Places are sorted by class, so that each class is one product of matrices."""
-    _, h = hidden(m, ctx)
-    cls, mem = target // MEMBERS, target % MEMBERS
-    z = h @ m["cls"] + m["cls0"]
-    out = z[np.arange(len(z)), cls] - _log_sum(z)
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[c] : edges[c + 1]]
-        z = h[rows] @ m["mem"][c] + m["mem0"][c]
-        out[rows] += z[np.arange(len(z)), mem[rows]] - _log_sum(z)
-    return out.astype(np.float64)
-
-
 def _log_sum(z: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         s = np.exp(z) @ np.ones(z.shape[1], np.float32)
@@ -135,59 +156,84 @@ def _log_sum(z: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
 
 
+def _by_class(cls: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the places by class, and (class, begin, end) in that order for each class there is: each is one product of matrices."""
+    order = np.argsort(cls, kind="stable")
+    edges = np.searchsorted(cls[order], np.arange(side + 1))
+    return order, [(int(c), int(edges[c]), int(edges[c + 1])) for c in np.flatnonzero(np.diff(edges))]
+
+
+def log_probabilities(m: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log P(target | context), each; of a bucket, the probability of the whole bucket."""
+    side = len(m["cls0"])
+    cls, mem = np.divmod(target, target.dtype.type(side))
+    order, parts = _by_class(cls, side)
+    h, cls, mem = hidden(m, ctx[order]), cls[order].astype(np.int64), mem[order].astype(np.int64)
+    z = h @ m["cls"] + m["cls0"]
+    found = z[np.arange(len(z)), cls] - _log_sum(z)
+    for c, a, b in parts:
+        z = h[a:b] @ m["mem"][c].T + m["mem0"][c]
+        found[a:b] += z[np.arange(b - a), mem[a:b]] - _log_sum(z)
+    out = np.empty(len(found))
+    out[order] = found
+    return out
+
+
 class Trainer:
-    """AdaGrad steps on batches of (context, target)."""
+    """AdaGrad steps on batches of (context, target); weights that belong to one word share one sum of squares."""
 
-    def __init__(self, m: dict[str, np.ndarray], rate: float = 0.05):
-        self.m, self.rate = {k: v.copy() for k, v in m.items()}, rate
-        self.sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in m.items()}
+    def __init__(self, m: dict[str, np.ndarray], rate: float = RATE):
+        self.m, self.rate, self.word_rate = {k: v.copy() for k, v in m.items()}, np.float32(rate), np.float32(rate * np.sqrt(HIDDEN))
+        self.sums = {k: np.full(v.shape[:-1] if k in ("embed", "mem") else v.shape, 1e-6, np.float32) for k, v in m.items()}
 
     def _move(self, name: str, gradient: np.ndarray, at=...) -> None:
         self.sums[name][at] += gradient * gradient
         self.m[name][at] -= self.rate * gradient / np.sqrt(self.sums[name][at])
 
+    def _move_rows(self, name: str, gradient: np.ndarray, at) -> None:
+        total = self.sums[name][at] + np.einsum("ij,ij->i", gradient, gradient)
+        self.sums[name][at] = total
+        gradient *= (self.word_rate / np.sqrt(total))[:, None]
+        self.m[name][at] -= gradient
+
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
-        m, n = self.m, len(ctx)
-        x, h = hidden(m, ctx)
-        cls, mem = target // MEMBERS, target % MEMBERS
+        m, n, side = self.m, len(ctx), len(self.m["cls0"])
+        cls, mem = np.divmod(target, target.dtype.type(side))
+        order, parts = _by_class(cls, side)
+        ctx, cls, mem, each = ctx[order], cls[order].astype(np.int64), mem[order].astype(np.int64), np.arange(n)
+        h = hidden(m, ctx)
         g = _softmax(h @ m["cls"] + m["cls0"])
-        g[np.arange(n), cls] -= 1
+        g[each, cls] -= 1
         g /= n
         dh = g @ m["cls"].T
         d_cls, d_cls0 = h.T @ g, g.sum(axis=0)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c] : edges[c + 1]]
-            g = _softmax(h[rows] @ m["mem"][c] + m["mem0"][c])
-            g[np.arange(len(rows)), mem[rows]] -= 1
+        for c, a, b in parts:
+            g = _softmax(h[a:b] @ m["mem"][c].T + m["mem0"][c])
+            g[each[: b - a], mem[a:b]] -= 1
             g /= n
-            dh[rows] += g @ m["mem"][c].T
-            self._move("mem", h[rows].T @ g, c)
+            dh[a:b] += g @ m["mem"][c]
+            self._move_rows("mem", g.T @ h[a:b], c)
             self._move("mem0", g.sum(axis=0), c)
         self._move("cls", d_cls)
         self._move("cls0", d_cls0)
-        dz = dh * (1 - h * h)
-        dx = dz @ m["hidden"].T
-        self._move("hidden", x.T @ dz)
-        self._move("hidden0", dz.sum(axis=0))
+        dh *= 1 - h * h
+        self._move("hidden0", dh.sum(axis=0))
         for j in range(2 * SIDE):
             order = np.argsort(ctx[:, j], kind="stable")
-            words, first = np.unique(ctx[order, j], return_index=True)
-            part = slice(j * DIM, (j + 1) * DIM)
-            self._move("embed", np.add.reduceat(dx[order, part], first, axis=0), (words, part))
+            words = ctx[order, j]
+            first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            self._move_rows("embed", np.add.reduceat(dh[order], first, axis=0), (j, words[first]))
 
 
 def _flat(m: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([m[k].ravel() for k in SHAPES])
+    return np.concatenate([v.ravel() for v in m.values()])
 
 
-def _unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+def _unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = x[at : at + n].reshape(s).astype(np.float32)
-        at += n
+    for k, v in like.items():
+        out[k] = x[at : at + v.size].reshape(v.shape).astype(np.float32)
+        at += v.size
     return out
 
 
@@ -196,10 +242,10 @@ def places(n: int, r: int, rounds: int) -> np.ndarray:
     return np.arange((n * 7 + r) % rounds, n, rounds)
 
 
-def train(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(rows: DataFrame, side: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """rows: the table of encoded()."""
     spark: SparkSession = rows.sparkSession
-    model = initial()
+    model = initial(side)
     chunk = 1 << 15
     for r in range(rounds):
         start = spark.sparkContext.broadcast(model)
@@ -208,14 +254,14 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
             trainer, held, size, done = Trainer(start.value), [], 0, 0
             rng = np.random.default_rng(r)
             for b in batches:
-                for ids in map(unpacked, b.column(0).to_pylist()):
+                for ids in (unpacked(x, side) for x in b.column(0).to_pylist()):
                     if not len(ids):
                         continue
                     at = SIDE + places(len(ids), r, rounds)
                     ids = np.pad(ids, SIDE)
                     held.append((contexts(ids, at), ids[at]))
                     size += len(at)
-                    if size >= 16 * BATCH:
+                    if size >= 8 * BATCH:
                         done += _walk(trainer, held, rng)
                         held, size = [], 0
             if held:
@@ -234,7 +280,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
         found = sorted(sums.collect(), key=lambda row: row["chunk"])
         if not found:
             continue
-        model = _unflat(np.concatenate([np.frombuffer(row["sums"]) / row["n"] for row in found]))
+        model = _unflat(np.concatenate([np.frombuffer(row["sums"]) / row["n"] for row in found]), model)
     return model
 
 
@@ -253,21 +299,27 @@ def _added(t: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([t["chunk"][0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def score(rows: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+def score(rows: DataFrame, model: dict[str, np.ndarray], words: Words) -> DataFrame:
     """rows: the table of encoded(). Per row: doc_id, n_words, log_likelihood (the sum over all words; 0 without words), mean_log_likelihood (null without words)."""
-    net = rows.sparkSession.sparkContext.broadcast(model)
+    spark = rows.sparkSession
+    net, shares, first, side = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(words.log_share), words.first_bucket, words.side
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, gap = net.value, np.zeros(SIDE, np.int32)
+        m, gap = net.value, np.zeros(SIDE, np.uint16 if side <= 256 else np.int32)
+        share = np.concatenate([np.zeros(first), shares.value])
         for b in batches:
             packed, n, total = b.column(1).to_pylist(), [], []
-            for i, j in slices(packed, 1 << 16):
-                ids = [unpacked(x) for x in packed[i:j]]
+            for i, j in slices(packed, 1 << 17):
+                ids = [unpacked(x, side) for x in packed[i:j]]
                 size = np.array([len(x) for x in ids])
                 flat = np.concatenate([gap, *(y for x in ids for y in (x, gap))])
                 row = np.repeat(np.arange(len(ids)), size)
                 at = np.arange(len(row)) + SIDE * (row + 1)
-                p = log_probabilities(m, contexts(flat, at), flat[at]) if len(at) else np.empty(0)
+                p = np.empty(len(at))
+                # a long text by parts, so that working memory is bounded
+                for k in range(0, len(at), 1 << 15):
+                    part = at[k : k + (1 << 15)]
+                    p[k : k + len(part)] = log_probabilities(m, contexts(flat, part), flat[part]) + share[flat[part]]
                 n += size.tolist()
                 total += np.bincount(row, p, len(ids)).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])
@@ -281,8 +333,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     A null or empty text has no words. Rows are scored each on its own, so repeated rows and null ids stay; an empty table gives an empty result; other columns are not read.
     """
-    rows = encoded(docs, vocabulary(docs, text), doc_id, text)
-    return score(rows, train(rows))
+    words = vocabulary(docs, text)
+    rows = encoded(docs, words, doc_id, text)
+    return score(rows, train(rows, words.side), words)
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -189,19 +189,61 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(docs.limit(0), machine).count() == 0
 
 
+def log_likelihood_by_force(model, words, text):
+    """One word after another, with the whole output of the network for each."""
+    side, total = words.side, 0.0
+    hashes = [int(np.uint64(h).astype(np.int64)) for h in lm_scoring.word_hashes((text or "").encode().split())]
+    ids = [0] * lm_scoring.SIDE + [words.id(h) for h in hashes] + [0] * lm_scoring.SIDE
+    for i in range(lm_scoring.SIDE, len(ids) - lm_scoring.SIDE):
+        around = ids[i - lm_scoring.SIDE : i] + ids[i + 1 : i + 1 + lm_scoring.SIDE]
+        h = np.tanh(sum(model["embed"][j][w].astype(float) for j, w in enumerate(around)) + model["hidden0"])
+        cls = h @ model["cls"] + model["cls0"]
+        mem = model["mem"][ids[i] // side] @ h + model["mem0"][ids[i] // side]
+        total += np.log(np.exp(cls)[ids[i] // side] / np.exp(cls).sum()) + np.log(np.exp(mem)[ids[i] % side] / np.exp(mem).sum())
+        if ids[i] >= words.first_bucket:
+            total += words.log_share[ids[i] - words.first_bucket]
+    return total
+
+
 def test_lm_scores(spark, rows):
-    docs = table(spark, rows)
-    vocabulary = lm_scoring.vocabulary(docs, "text")
+    docs = table(spark, rows + [(9001, None), (9002, " \n"), (9002, " \n")])
+    words = lm_scoring.vocabulary(docs, "text")
     counts = collections.Counter(w for _, t in rows if t for w in t.encode().split())
-    assert len(vocabulary) == min(len(counts), lm_scoring.NAMED - 1)
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs).collect()}
-    assert set(got) == {i for i, _ in rows}
-    for i, t in rows:
-        n = len((t or "").encode().split())
-        assert got[i]["n_words"] == n and (got[i]["log_likelihood"] < 0 if n else got[i]["log_likelihood"] == 0 and got[i]["mean_log_likelihood"] is None)
+    assert len(words.known) == min(len(counts), words.first_bucket - 1) and len(words.known) + 1 + len(words.log_share) <= words.side**2
+    by = {int(np.uint64(h).astype(np.int64)): n for h, n in zip(lm_scoring.word_hashes(list(counts)), counts.values(), strict=True)}
+    assert sorted((by[h] for h in words.known), reverse=True) == sorted(counts.values(), reverse=True)[: len(words.known)]
+    rest = collections.Counter(h % len(words.log_share) for h in by if h not in words.known)
+    assert all(words.log_share[b] == pytest.approx(-np.log(max(1, rest[b]))) for b in range(len(words.log_share)))
+    coded = lm_scoring.encoded(docs, words, "doc_id", "text")
+    model = lm_scoring.train(coded, words.side)
+    got = collections.defaultdict(list)
+    for r in lm_scoring.score(coded, model, words).collect():
+        got[r["doc_id"]].append(r)
+    for i, t in rows[::7]:
+        assert got[i][0]["n_words"] == len((t or "").encode().split())
+        assert got[i][0]["log_likelihood"] == pytest.approx(log_likelihood_by_force(model, words, t), rel=1e-4, abs=1e-6)
+    assert [(r["n_words"], r["log_likelihood"], r["mean_log_likelihood"]) for i in (9001, 9002) for r in got[i]] == [(0, 0.0, None)] * 3
     assert lm_scoring.score_documents(docs.limit(0)).count() == 0
 
 
+def test_lm_vocabulary_grows_with_the_corpus():
+    assert [lm_scoring.named_words(n) for n in (0, 1000, 26_000_000, 10**13)] == [64, 140, 4148, 301_621]
+
+
+def test_lm_beats_word_frequencies_on_documents_it_has_not_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    kept, unseen = docs.where("doc_id % 10 <> 3"), docs.where("doc_id % 10 = 3")
+    words = lm_scoring.vocabulary(kept, "text")
+    model = lm_scoring.train(lm_scoring.encoded(kept, words, "doc_id", "text"), words.side)
+    coded = lm_scoring.encoded(unseen, words, "doc_id", "text")
+    total = lm_scoring.score(coded, model, words).agg(F.sum("log_likelihood")).first()[0]
+    count = np.zeros(words.side**2)
+    for r in lm_scoring.encoded(kept, words, "doc_id", "text").collect():
+        np.add.at(count, lm_scoring.unpacked(r["ids"], words.side), 1)
+    log = np.log((count + 1) / (count + 1).sum()) + np.concatenate([np.zeros(words.first_bucket), words.log_share])
+    assert total > sum(log[lm_scoring.unpacked(r["ids"], words.side)].sum() for r in coded.collect())
+
+
 def test_lm_trains_on_every_word(spark, rows, monkeypatch):
     sent, write = [], lm_scoring.written
     monkeypatch.setattr(lm_scoring, "written", lambda df, name: (sent.append((name, t := write(df, name))), t)[1])
@@ -216,27 +258,26 @@ def test_lm_rounds_share_out_the_words(rounds):
         assert sorted(np.concatenate([lm_scoring.places(n, r, rounds) for r in range(rounds)]).tolist()) == list(range(n))
 
 
-def test_lm_score_is_a_sum_of_conditionals():
+def test_lm_probabilities_add_up_to_one():
     rnd = np.random.default_rng(2)
-    m = lm_scoring.initial()
-    ids = np.pad(rnd.integers(1, lm_scoring.SIZE, 12).astype(np.int32), lm_scoring.SIDE)
+    m = lm_scoring.initial(16)
+    ids = np.pad(rnd.integers(1, 256, 12).astype(np.uint16), lm_scoring.SIDE)
     at = np.arange(lm_scoring.SIDE, lm_scoring.SIDE + 12)
     ctx = lm_scoring.contexts(ids, at)
     one = lm_scoring.log_probabilities(m, ctx, ids[at])
-    # over all words of one context the probabilities add up to 1
-    everything = lm_scoring.log_probabilities(m, np.repeat(ctx[:1], lm_scoring.SIZE, axis=0), np.arange(lm_scoring.SIZE))
+    everything = lm_scoring.log_probabilities(m, np.repeat(ctx[:1], 256, axis=0), np.arange(256).astype(np.uint16))
     assert np.exp(everything).sum() == pytest.approx(1, abs=1e-4) and everything[ids[at[0]]] == pytest.approx(one[0], abs=1e-4)
 
 
 def test_lm_learns_from_both_sides():
     rnd = np.random.default_rng(3)
-    trainer = lm_scoring.Trainer(lm_scoring.initial())
+    trainer = lm_scoring.Trainer(lm_scoring.initial(64))
     for _ in range(150):
-        ctx = rnd.integers(1, 40, (512, 2 * lm_scoring.SIDE)).astype(np.int32)
+        ctx = rnd.integers(1, 40, (512, 2 * lm_scoring.SIDE)).astype(np.uint16)
         # the word between follows from one on either side
-        trainer.step(ctx, (ctx[:, 1] % 2) * 64 + (ctx[:, 2] % 2) + 1)
-    right = lm_scoring.log_probabilities(trainer.m, ctx, (ctx[:, 1] % 2) * 64 + (ctx[:, 2] % 2) + 1)
-    assert right.mean() > -0.3
+        target = ((ctx[:, 1] % 2) * 64 + (ctx[:, 2] % 2) + 1).astype(np.uint16)
+        trainer.step(ctx, target)
+    assert lm_scoring.log_probabilities(trainer.m, ctx, target).mean() > -0.3
 
 
 def test_pipeline(spark, sf_dir):
