@@ -28,7 +28,7 @@ from pagelattice.llm.common import Memo, slices, table, word_hashes, written
 
 #: Words known by name are this many times the cube root of all words of the corpus: about 4,200 of 26 million, 300,000 of ten trillion.
 NAMED_BY_ROOT = 14
-SIDE, HIDDEN = 2, 24
+SIDE, HIDDEN = 2, 16
 ROUNDS, BATCH, RATE = 2, 8192, 0.1
 
 
@@ -98,7 +98,7 @@ def vocabulary(docs: DataFrame, text: str) -> Words:
 class Encoder:
     def __init__(self, words: Words):
         self.words = words
-        self.memo = Memo(self._id, 300_000)
+        self.memo = Memo(self._id, 600_000)
 
     def _id(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -109,12 +109,23 @@ class Encoder:
         return np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint32, count=len(words))
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def shared_encoder(words: Words) -> Encoder:
+    """One encoder per worker process and vocabulary, so that tasks go on with what earlier ones have looked up; `words` is one object for all tasks of a process."""
+    if id(words) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[id(words)] = Encoder(words)
+    return _ENCODERS[id(words)]
+
+
 def encoded(docs: DataFrame, words: Words, doc_id: str, text: str) -> DataFrame:
     """doc_id and ids (4 bytes each) of every row, as a table: texts are read once for all rounds and the scoring."""
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(known.value)
+        encoder = shared_encoder(known.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.ids(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
@@ -139,21 +150,24 @@ def hidden(m: dict, ctx: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place; scores over 60 count as 60, which exp can hold."""
-    np.minimum(z, 60, out=z)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+def _softmax(z: np.ndarray, share: np.float32) -> np.ndarray:
+    """In place: the softmax of each row, times `share`."""
+    with np.errstate(over="ignore"):
+        top = z.max()
+        if top > 60:
+            np.minimum(z, 60, out=z)
+        np.exp(z, out=z)
+    z *= (share / (z @ np.ones(z.shape[1], np.float32)))[:, None]
     return z
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        s = np.exp(z) @ np.ones(z.shape[1], np.float32)
-    if np.isfinite(s).all() and s.all():
-        return np.log(s)
-    top = z.max(axis=1)
-    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+    """The logarithm of each row's sum of exp; z is lost."""
+    if z.size and (z.max() > 60 or z.min() < -60):
+        top = z.max(axis=1)
+        z -= top[:, None]
+        return top + np.log(np.exp(z, out=z).sum(axis=1))
+    return np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
 
 
 def _by_class(cls: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -169,11 +183,16 @@ def log_probabilities(m: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarra
     cls, mem = np.divmod(target, target.dtype.type(side))
     order, parts = _by_class(cls, side)
     h, cls, mem = hidden(m, ctx[order]), cls[order].astype(np.int64), mem[order].astype(np.int64)
-    z = h @ m["cls"] + m["cls0"]
-    found = z[np.arange(len(z)), cls] - _log_sum(z)
+    each = np.arange(len(h))
+    z = h @ m["cls"]
+    z += m["cls0"]
+    found = z[each, cls]
+    found -= _log_sum(z)
     for c, a, b in parts:
-        z = h[a:b] @ m["mem"][c].T + m["mem0"][c]
-        found[a:b] += z[np.arange(b - a), mem[a:b]] - _log_sum(z)
+        z = h[a:b] @ m["mem"][c].T
+        z += m["mem0"][c]
+        found[a:b] += z[each[: b - a], mem[a:b]]
+        found[a:b] -= _log_sum(z)
     out = np.empty(len(found))
     out[order] = found
     return out
@@ -201,16 +220,16 @@ class Trainer:
         cls, mem = np.divmod(target, target.dtype.type(side))
         order, parts = _by_class(cls, side)
         ctx, cls, mem, each = ctx[order], cls[order].astype(np.int64), mem[order].astype(np.int64), np.arange(n)
-        h = hidden(m, ctx)
-        g = _softmax(h @ m["cls"] + m["cls0"])
-        g[each, cls] -= 1
-        g /= n
+        h, one = hidden(m, ctx), np.float32(1 / n)
+        g = h @ m["cls"]
+        g += m["cls0"]
+        _softmax(g, one)[each, cls] -= one
         dh = g @ m["cls"].T
         d_cls, d_cls0 = h.T @ g, g.sum(axis=0)
         for c, a, b in parts:
-            g = _softmax(h[a:b] @ m["mem"][c].T + m["mem0"][c])
-            g[each[: b - a], mem[a:b]] -= 1
-            g /= n
+            g = h[a:b] @ m["mem"][c].T
+            g += m["mem0"][c]
+            _softmax(g, one)[each[: b - a], mem[a:b]] -= one
             dh[a:b] += g @ m["mem"][c]
             self._move_rows("mem", g.T @ h[a:b], c)
             self._move("mem0", g.sum(axis=0), c)
