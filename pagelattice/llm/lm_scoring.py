@@ -29,7 +29,9 @@ from pagelattice.llm.common import Memo, slices, table, word_hashes, written
 #: Words known by name are this many times the cube root of all words of the corpus: about 4,200 of 26 million, 300,000 of ten trillion.
 NAMED_BY_ROOT = 14
 SIDE, HIDDEN = 2, 16
-ROUNDS, BATCH, RATE = 2, 8192, 0.1
+ROUNDS, BATCH, RATE = 2, 8192, 0.2
+#: Rows whose class scores are held at once, so that they stay in a core's cache.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -150,14 +152,11 @@ def hidden(m: dict, ctx: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def _softmax(z: np.ndarray, share: np.float32) -> np.ndarray:
-    """In place: the softmax of each row, times `share`."""
-    with np.errstate(over="ignore"):
-        top = z.max()
-        if top > 60:
-            np.minimum(z, 60, out=z)
-        np.exp(z, out=z)
-    z *= (share / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+def _softmax(z: np.ndarray, share: np.float32, ones: np.ndarray) -> np.ndarray:
+    """In place: the softmax of each row, times `share`; scores over 60 count as 60, which exp can hold."""
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    z *= (share / (z @ ones))[:, None]
     return z
 
 
@@ -184,10 +183,12 @@ def log_probabilities(m: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarra
     order, parts = _by_class(cls, side)
     h, cls, mem = hidden(m, ctx[order]), cls[order].astype(np.int64), mem[order].astype(np.int64)
     each = np.arange(len(h))
-    z = h @ m["cls"]
-    z += m["cls0"]
-    found = z[each, cls]
-    found -= _log_sum(z)
+    found = np.empty(len(h), np.float32)
+    for i in range(0, len(h), BLOCK):
+        z = h[i : i + BLOCK] @ m["cls"]
+        z += m["cls0"]
+        found[i : i + BLOCK] = z[each[: len(z)], cls[i : i + BLOCK]]
+        found[i : i + BLOCK] -= _log_sum(z)
     for c, a, b in parts:
         z = h[a:b] @ m["mem"][c].T
         z += m["mem0"][c]
@@ -210,9 +211,9 @@ class Trainer:
         self.m[name][at] -= self.rate * gradient / np.sqrt(self.sums[name][at])
 
     def _move_rows(self, name: str, gradient: np.ndarray, at) -> None:
-        total = self.sums[name][at] + np.einsum("ij,ij->i", gradient, gradient)
+        total = self.sums[name][at] + np.einsum("...j,...j->...", gradient, gradient)
         self.sums[name][at] = total
-        gradient *= (self.word_rate / np.sqrt(total))[:, None]
+        gradient *= (self.word_rate / np.sqrt(total))[..., None]
         self.m[name][at] -= gradient
 
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
@@ -220,19 +221,27 @@ class Trainer:
         cls, mem = np.divmod(target, target.dtype.type(side))
         order, parts = _by_class(cls, side)
         ctx, cls, mem, each = ctx[order], cls[order].astype(np.int64), mem[order].astype(np.int64), np.arange(n)
-        h, one = hidden(m, ctx), np.float32(1 / n)
-        g = h @ m["cls"]
-        g += m["cls0"]
-        _softmax(g, one)[each, cls] -= one
-        dh = g @ m["cls"].T
-        d_cls, d_cls0 = h.T @ g, g.sum(axis=0)
+        h, one, ones = hidden(m, ctx), np.float32(1 / n), np.ones(side, np.float32)
+        dh, d_cls, d_cls0 = np.empty_like(h), np.zeros_like(m["cls"]), np.zeros_like(m["cls0"])
+        for i in range(0, n, BLOCK):
+            part = h[i : i + BLOCK]
+            g = part @ m["cls"]
+            g += m["cls0"]
+            _softmax(g, one, ones)[each[: len(g)], cls[i : i + BLOCK]] -= one
+            np.matmul(g, m["cls"].T, out=dh[i : i + BLOCK])
+            d_cls += part.T @ g
+            d_cls0 += g.sum(axis=0)
+        d_mem, d_mem0 = np.zeros_like(m["mem"]), np.zeros_like(m["mem0"])
         for c, a, b in parts:
-            g = h[a:b] @ m["mem"][c].T
+            part = h[a:b]
+            g = part @ m["mem"][c].T
             g += m["mem0"][c]
-            _softmax(g, one)[each[: b - a], mem[a:b]] -= one
+            _softmax(g, one, ones)[each[: b - a], mem[a:b]] -= one
             dh[a:b] += g @ m["mem"][c]
-            self._move_rows("mem", g.T @ h[a:b], c)
-            self._move("mem0", g.sum(axis=0), c)
+            np.matmul(g.T, part, out=d_mem[c])
+            d_mem0[c] = g.sum(axis=0)
+        self._move_rows("mem", d_mem, ...)
+        self._move("mem0", d_mem0)
         self._move("cls", d_cls)
         self._move("cls0", d_cls0)
         dh *= 1 - h * h
