@@ -1,14 +1,17 @@
 """Operator 4, MinHash near-dedup.
 
-1. Each document's set of word shingles gives many universal hash minima. Documents with equal sets are one node, their smallest id.
-2. The minima are cut into bands; nodes with an equal band are candidates. Each bucket only links its nodes to its smallest, so a bucket
-   of any size gives one row per node; the components of these links (large-star, small-star) are clusters: all candidates of a node are in its cluster.
-3. Inside clusters, pairs whose signatures agree in about the share asked for are confirmed on the full sets. Large clusters are dealt
+1. Each document's set of word shingles gives many universal hash minima, its signature. Documents with equal sets are one node, their smallest id.
+2. The minima are cut into bands; nodes with an equal band are candidates. Each bucket links its nodes to its smallest, its centre, where their signatures
+   agree in about the share asked for: one row per node, in a bucket of any size. A node that does not agree with the centre is held, by signatures and in tiles, against
+   all nodes of the bucket; a tile gives no more links than it has nodes. So two candidates whose signatures agree are always linked, by each other or a centre,
+   and documents that only share a passage are not.
+3. The components of these links (large-star, small-star) are clusters. Inside clusters, pairs whose signatures agree are confirmed on the full sets. Large clusters are dealt
    into tiles, which also get a few common members: in a group of copies that links nearly all of it. What is not in the largest part
    of its cluster by then is compared, tile by tile, with all other parts of the cluster, so no link between candidates is lost.
 4. The components of the confirmed links are the result.
 
-With 32 bands of 4 minima a pair of similarity 0.8 shares no band with probability 5e-8, and the signature check, at 0.62, passes it over with 3e-7.
+With 32 bands of 4 minima a pair of similarity 0.8 shares no band with probability 5e-8, and the signature check, at 0.62, passes it over with 3e-7. What a task gets is
+bounded in rows by counts of the rows that are dealt.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SLACK = 0.18
 TILE, PIVOTS = 512, 32
 #: Documents of clusters that one task handles together; about 8 MB of text.
 BUNDLE = 2000
+#: Signatures of a tile, and those that one task handles together; 512 bytes each.
+SIG_TILE, SIG_BUNDLE = 1024, 20_000
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -63,21 +68,22 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = factors()
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for t in b.column(1).to_pylist():
                 s = shingles(t, k)
+                sig = signature(s, f) if len(s) else None
                 # equal sets have equal sums of two independent hashes
                 sums = [int(mixed(s * m).sum(dtype=np.uint64).view(np.int64)) for m in odd_numbers(8, 2)] if len(s) else [None, None]
-                for c, v in zip(cols, (len(s), *sums, band_keys(signature(s, f)) if len(s) else None), strict=True):
+                for c, v in zip(cols, (len(s), *sums, band_keys(sig) if len(s) else None, sig.tobytes() if len(s) else None), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, type=x.type) for c, x in zip(cols, list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
 
 
 class Forest:
@@ -138,6 +144,58 @@ def confirmed(sets: list[np.ndarray], parts: list, one: np.ndarray, other: np.nd
     return links
 
 
+def _matrix(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), -1)
+
+
+def _agreeing(pairs: DataFrame, need: float) -> DataFrame:
+    """pairs: node, center, one, other (signatures). node, center and near: whether the share `need` of their minima are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, other = (_matrix(b.column(c).to_pylist()) if len(b) else np.empty((0, 1)) for c in ("one", "other"))
+            near = (one == other).sum(axis=1) >= need * one.shape[1]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("center"), pa.array(near, pa.bool_())], names=["node", "center", "near"])
+
+    return pairs.mapInArrow(run, "node long, center long, near boolean")
+
+
+def _left_in_buckets(left: DataFrame, banded: DataFrame, sigs: DataFrame, need: float) -> DataFrame:
+    """Links (node, center) between the nodes of `left` (band, node) and all nodes of their buckets where signatures agree, as many as join them. banded: band, node; sigs: node, sig."""
+    asked = left.groupBy("band").agg(F.ceil(F.count("*") / SIG_TILE).cast("int").alias("l_tiles"))
+    inside = banded.join(asked, "band")
+    sizes = inside.groupBy("band").agg(F.ceil(F.count("*") / SIG_TILE).cast("int").alias("m_tiles"), F.first("l_tiles").alias("l_tiles"))
+    rows = inside.select("band", "node").join(left.withColumn("asks", F.lit(True)), ["band", "node"], "left").join(sizes, "band").join(sigs, "node")
+    rows = written(rows.select("band", "node", F.coalesce("asks", F.lit(False)).alias("asks"), "m_tiles", "l_tiles", "sig"), "minhash-left")
+    dealt = rows.agg(F.sum(F.col("l_tiles") + F.when(F.col("asks"), F.col("m_tiles")).otherwise(0))).first()[0] or 0
+    bundles = F.lit(max(1, -(-dealt // SIG_BUNDLE)))
+    place = F.xxhash64("node", F.lit(11))
+    ones = rows.where("asks").select("band", "node", "sig", F.pmod(place, "l_tiles").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("m_tiles") - 1)).alias("b"), F.lit(0).alias("side"))
+    others = rows.select("band", "node", "sig", F.explode(F.sequence(F.lit(0), F.col("l_tiles") - 1)).alias("a"), F.pmod(place, "m_tiles").cast("int").alias("b"), F.lit(1).alias("side"))
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = list(zip(*(t[c].to_pylist() for c in ("band", "a", "b")), strict=True))
+        node, side, sig = t["node"].to_pylist(), t["side"].to_pylist(), _matrix(t["sig"].to_pylist())
+        by: dict = {}
+        for i, k in enumerate(keys):
+            by.setdefault(k, ([], []))[side[i]].append(i)
+        hi, lo = [], []
+        for one, other in by.values():
+            first: dict = {}
+            places = np.array([first.setdefault(node[i], len(first)) for i in other])
+            forest, x = Forest(len(other) + len(one)), sig[other]
+            for i in one if other else ():
+                # an asking node is among the others too, or stands behind them if it is in another tile
+                own = first.setdefault(node[i], len(first))
+                for j in np.flatnonzero((x == sig[i]).sum(axis=1) >= need * x.shape[1]):
+                    if node[other[j]] != node[i] and forest.join(own, int(places[j])):
+                        hi.append(node[i])
+                        lo.append(node[other[j]])
+        return pa.table({"node": pa.array(hi, pa.int64()), "center": pa.array(lo, pa.int64())})
+
+    return ones.union(others).withColumn("bundle", F.pmod(F.xxhash64("band", "a", "b"), bundles)).groupBy("bundle").applyInArrow(lambda key, t: run(t), "node long, center long")
+
+
 def _tiles(grouped: DataFrame, k: int, threshold: int) -> DataFrame:
     """Confirmed links within each (cluster, a, b) of `grouped`: between members whose side is 0 and those of side 1, or all if there is no side 1."""
 
@@ -175,13 +233,18 @@ def components(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "
     sets = written(signed.where("set_a is not null and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "minhash-sets")
     # nodes: one row per set
     nodes = signed.withColumnRenamed("doc_id", "node").join(sets, ["set_a", "set_b", "node"]).dropDuplicates(["set_a", "set_b"])
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    banded, sigs = nodes.select("node", F.explode("bands").alias("band")), nodes.select("node", "sig")
     buckets = banded.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center < most")
-    star = banded.join(buckets.select("band", "center"), "band").where("node <> center").select("node", "center").distinct()
-    clusters = written(connected_components(star, "node", "center").withColumnRenamed("component", "cluster"), "minhash-clusters")
+    starred = written(banded.join(buckets.select("band", "center"), "band"), "minhash-buckets")
+    star = starred.where("node <> center").select("node", "center").distinct()
+    need = threshold / 100 - SLACK
+    pairs = star.join(sigs.withColumnRenamed("sig", "one"), "node").join(sigs.select(F.col("node").alias("center"), F.col("sig").alias("other")), "center")
+    # an id that stands for several sets has several signatures; one that agrees is enough
+    star = written(_agreeing(pairs.select("node", "center", "one", "other"), need).groupBy("node", "center").agg(F.max("near").alias("near")), "minhash-star")
+    left = starred.join(star.where("not near").select("node", "center"), ["node", "center"]).select("band", "node").distinct()
+    near = star.where("near").select("node", "center").union(written(_left_in_buckets(left, starred.select("band", "node").distinct(), sigs, need), "minhash-near"))
+    clusters = written(connected_components(near, "node", "center").withColumnRenamed("component", "cluster"), "minhash-clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    total = clusters.count()
-    bundles = max(1, -(-total // BUNDLE))
 
     # never by broadcast, as the members grow with the documents
     members = clusters.join(sizes, "cluster").join(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).hint("merge"), "id")
@@ -189,6 +252,7 @@ def components(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "
     members = written(members.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")), "minhash-members")
     common = members.where("tiles > 1").where(F.pmod(F.xxhash64("id", F.lit(7)), F.col("members")) < PIVOTS).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     grouped = members.unionByName(common).select("id", "text", "cluster", F.col("tile").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), F.col("id").alias("part"))
+    bundles = max(1, -(-grouped.count() // BUNDLE))
     links = written(_tiles(grouped.withColumn("bundle", F.pmod(F.xxhash64("cluster", "a"), F.lit(bundles))), k, threshold), "minhash-links")
     parts = connected_components(links, "hi", "lo")
 
@@ -204,7 +268,7 @@ def components(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "
         ones = rest.join(rest_tiles, "cluster").withColumn("a", F.pmod(F.xxhash64("id", F.lit(3)), F.col("rest_tiles")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(0))
         others = large.join(rest_tiles, "cluster").withColumn("b", F.col("tile")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("rest_tiles") - 1))).withColumn("side", F.lit(1))
         crossed = ones.select(columns).union(others.select(columns))
-        n = max(1, 4 * bundles)
+        n = max(1, -(-crossed.count() // BUNDLE))
         links = links.union(written(_tiles(crossed.withColumn("bundle", F.pmod(F.xxhash64("cluster", "a", "b"), F.lit(n))), k, threshold), "minhash-rest"))
         parts = connected_components(links, "hi", "lo")
 
@@ -220,8 +284,9 @@ def components(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "
 
 def near_dedup(docs: DataFrame, k: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the documents that are linked, over any number of links, with one of a smaller id."""
-    gone = components(docs, k, threshold, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    name = next(x for i in range(len(docs.columns) + 1) if (x := f"gone_{i}") not in docs.columns)
+    gone = components(docs, k, threshold, doc_id, text).where("not kept").select(F.col("doc_id").alias(name)).distinct().hint("merge")
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

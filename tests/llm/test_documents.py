@@ -118,11 +118,36 @@ def test_minhash(spark, rows, k, tile, monkeypatch):
     assert kept.columns == table(spark, rows).columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
+def test_minhash_keeps_neighbours_apart_that_only_share_a_passage(spark, monkeypatch):
+    """Similarities of 0.3 to 0.4 all along a chain and all around a passage make no cluster; near copies among them are found, in tiles of few signatures."""
+    rnd, written = random.Random(5), minhash_dedup.written
+    monkeypatch.setattr(minhash_dedup, "SIG_TILE", 16)
+    monkeypatch.setattr(minhash_dedup, "SIG_BUNDLE", 200)
+    monkeypatch.setattr(minhash_dedup, "TILE", 16)
+    parts = [words(rnd, 40, 100_000) for _ in range(151)]
+    chain = [f"{parts[i]} {parts[i + 1]}" for i in range(150)]
+    passage = words(rnd, 40, 100_000)
+    around = [f"{words(rnd, 20, 100_000)} {passage} {words(rnd, 20, 100_000)}" for _ in range(150)]
+    copies = [t + " end" for t in [*chain[::10], *around[::10]]]
+    group = [f"{parts[0]} {words(rnd, 60, 100_000)}"] * 1
+    group = [group[0].replace(group[0].split()[i], f"v{i}") for i in range(0, 60, 1)]
+    rows = list(enumerate(chain + around + copies + group))
+    sent = {}
+    monkeypatch.setattr(minhash_dedup, "written", lambda df, name: sent.setdefault(name, written(df, name)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.components(table(spark, rows), k=4).collect()}
+    assert got == components_by_force(shingle_sets(rows, 4))
+    assert sent["minhash-left"].where("asks").count() > 16
+    sizes = sorted(r["count"] for r in sent["minhash-clusters"].groupBy("cluster").count().collect())
+    assert sizes[-1] <= len(group) and all(n <= 3 for n in sizes[:-1])
+
+
 def test_minhash_of_odd_rows(spark):
     t = " ".join(map(str, range(30)))
     got = minhash_dedup.components(table(spark, [(5, t), (4, t), (4, "x y z"), (2, "x y z"), (None, t), (8, t), (8, t)])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in got) == [(-1, None, True), (2, 2, True), (4, 2, False), (4, 2, False), (5, 2, False), (8, 2, False), (8, 2, False)]
     assert minhash_dedup.components(table(spark, [(1, "a")]).limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, t, "x", "y"), (2, t, "x", "y"), (None, t, None, None)], "doc_id long, text string, gone_0 string, component_id string")
+    assert sorted((r["doc_id"] or 0, r["gone_0"]) for r in minhash_dedup.near_dedup(clash).collect()) == [(0, None), (1, "x")]
 
 
 def test_components(spark):
