@@ -5,6 +5,8 @@ annotations: doc_id, page, seq, content; seq orders all annotations of a documen
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +31,7 @@ def need_ocr(annotations: DataFrame) -> DataFrame:
 def _snapped(rows: DataFrame, variables: list[str]) -> DataFrame:
     """rows with lhs and term: names that are no variable but within one edit of just one become that one."""
     known = rows.sparkSession.createDataFrame([(v,) for v in variables], "term string")
-    near = C.nearest_unique(rows.where(~F.col("lhs").isin(*variables)).select(F.col("lhs").alias("token")), known)
+    near = C.nearest_unique(rows.where(~F.col("lhs").isin(*variables)).select(F.col("lhs").alias("token")).distinct(), known)
     term = F.when(F.col("is_pair"), F.concat("nearest", F.expr("substring(term, length(lhs) + 1)"))).otherwise(F.col("nearest"))
     joined = rows.join(near, rows["lhs"] == near["token"], "left")
     return joined.withColumn("term", F.coalesce(term, "term")).withColumn("lhs", F.coalesce("nearest", "lhs")).drop("token", "nearest")
@@ -85,6 +87,39 @@ def not_submitted_bag(texts: DataFrame, content: str = "text") -> DataFrame:
     return rows.groupBy("doc_id").agg(bag.alias("pages"), F.sum("n").alias("occurrences")).withColumn("page_string", P.format_pages(F.col("pages"))).withColumn("page_count", F.size(F.array_distinct("pages")))
 
 
+@dataclass
+class DocumentIndex:
+    """variables: doc_id, seq, variable, pages, page_string, page_count, category, match_level, raw_texts, in the order of seq, with what says not submitted as the last row of a document;
+    domains: doc_id, domain, pages, page_string, page_count. Both are what `reconcile.cross_validate` and the reports take."""
+
+    variables: DataFrame
+    domains: DataFrame
+
+    def in_order(self) -> DataFrame:
+        return self.variables.orderBy("doc_id", "seq")
+
+
+def document_index(texts: DataFrame, not_submitted: DataFrame, vocabulary: C.Vocabulary, profile: str = "structural") -> DocumentIndex:
+    """The indexes of cleaned texts (doc_id, page, seq, content); not_submitted: the bags of not_submitted_bag()."""
+    found = occurrences(texts, vocabulary, profile)
+    at = lambda last, name: F.struct(F.lit(last).alias("last"), name.alias("name")).alias("seq")
+    columns = ["doc_id", "seq", "variable", "pages", "page_string", "page_count", "category", "match_level", "raw_texts"]
+    terms = term_index(found).select("*", at(False, F.col("term")), F.col("term").alias("variable"))
+    name = F.lit("NOT SUBMITTED")
+    bags = not_submitted.select("doc_id", at(True, name), name.alias("variable"), "pages", "page_string", F.col("occurrences").cast("int").alias("page_count"), F.lit("not_submitted").alias("category"), F.lit("").alias("match_level"), F.array().cast("array<string>").alias("raw_texts"))
+    return DocumentIndex(terms.select(columns).union(bags.select(columns)), domain_index(texts, found, vocabulary.exact_dataset))
+
+
+def structural_index(annotations: DataFrame, page_text: DataFrame, vocabulary: C.Vocabulary) -> DocumentIndex:
+    """From annotations with contents; what says not submitted is looked for in the whole text of the pages."""
+    return document_index(clean_annotations(annotations), not_submitted_bag(page_text), vocabulary)
+
+
+def ocr_index(readings: DataFrame, vocabulary: C.Vocabulary) -> DocumentIndex:
+    """From recognised texts (doc_id, page, seq, content), which tell what is not submitted as well."""
+    return document_index(clean_annotations(readings), not_submitted_bag(readings, "content"), vocabulary, "ocr")
+
+
 def text_layer(page_text: DataFrame) -> DataFrame:
     """Per document: averages of characters and words a page, share of pages with over 50 characters, whether the text layer is too weak to read, and why."""
     t = X.strip(F.coalesce("text", F.lit("")))

@@ -15,7 +15,7 @@ from pagelattice.operators import index as I
 from pagelattice.operators import reconcile as R
 from pagelattice.operators.repair import repair
 from pagelattice.plans import derived as D
-from pagelattice.plans import report
+from pagelattice.plans import flow, report
 from pagelattice.sources import define_xml, gold
 
 QUERIES: dict = {}
@@ -229,6 +229,54 @@ def detail_display(spark, sf_dir):
     return report.detail_display(_cross(spark, sf_dir).detail)
 
 
+# --- whole documents: Define-XML, annotations and page texts to results
+
+
+def _documents(spark, sf_dir) -> R.CrossValidation:
+    xml, notes, text = D.documents(spark, sf_dir)
+    return flow.cross_validate_documents(define_xml.contract(define_xml.item_definitions(xml)), notes, text, _vocabulary())
+
+
+_DOCUMENTS = f"""WITH {D.DOCUMENTS_SQL},
+pair AS (SELECT c.doc_id, c.name, c.dataset, c.xml, v.pages, CASE WHEN v.pages IS NOT NULL THEN {_relation('c.xml', 'v.pages')} END AS rel FROM contract c LEFT JOIN vars v ON v.doc_id = c.doc_id AND v.name = c.name),
+detail AS (SELECT doc_id, dataset AS XML_Dataset, name AS XML_Variable, array_to_string(xml, ',') AS XML_Pages, CAST(len(xml) AS INTEGER) AS XML_PageCount, CASE WHEN rel IS NULL THEN '' ELSE name END AS PDF_Matched_Name,
+  coalesce(array_to_string(pages, ','), '') AS PDF_Pages, CAST(coalesce(len(pages), 0) AS INTEGER) AS PDF_PageCount, CASE WHEN rel IS NULL THEN 'MISSING_IN_PDF' WHEN rel = 'exact' THEN 'MATCH' ELSE 'PAGE_MISMATCH' END AS diff_type,
+  coalesce(rel, '') AS page_subset, CASE WHEN rel IS NULL THEN '' ELSE 'simple' END AS match_path, CASE WHEN rel IS NULL THEN '' ELSE {_diff('xml', 'pages')} END AS page_diff_detail, '' AS note FROM pair),
+extra AS (SELECT v.doc_id, 'EXTRA_IN_PDF' AS diff_type, v.name AS PDF_Name, array_to_string(v.pages, ',') AS PDF_Pages, CAST(len(v.pages) AS INTEGER) AS PDF_PageCount, 'standard_variable' AS Category, 'unmapped_variable' AS subtype, 'see ' || v.name AS RawTexts
+  FROM vars v ANTI JOIN contract c ON v.doc_id = c.doc_id AND v.name = c.name)
+"""
+
+
+@query(_DOCUMENTS + "SELECT * FROM detail")
+def documents_detail(spark, sf_dir):
+    return _documents(spark, sf_dir).detail
+
+
+@query(_DOCUMENTS + "SELECT * FROM extra")
+def documents_extra_variables(spark, sf_dir):
+    return _documents(spark, sf_dir).extra_variables
+
+
+@query(_DOCUMENTS + "SELECT doc_id, XML_Dataset AS Dataset, count(*) AS XML_Variable_Count, " + _COUNTS.format(**{d: d for d in R.DIFFS.values()}) + " FROM detail GROUP BY 1, 2")
+def documents_summary_by_dataset(spark, sf_dir):
+    return _documents(spark, sf_dir).summary_by_dataset
+
+
+@query(_DOCUMENTS + ", v AS (SELECT doc_id, count(*) AS n FROM vars GROUP BY 1), e AS (SELECT doc_id, count(*) AS n FROM extra GROUP BY 1) SELECT d.doc_id, count(*) AS total_xml_variables, " + _COUNTS.format(**{d: n for n, d in R.DIFFS.items()}) + ", coalesce(any_value(v.n), 0) AS total_pdf_variables, CAST(0 AS BIGINT) AS total_pdf_domains, coalesce(any_value(e.n), 0) AS extra_in_pdf_variables, CAST(0 AS BIGINT) AS extra_in_pdf_domains FROM detail d LEFT JOIN v ON v.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY d.doc_id")
+def documents_summary(spark, sf_dir):
+    return _documents(spark, sf_dir).summary
+
+
+@query(f"""WITH {D.DOCUMENTS_SQL},
+r AS (SELECT doc_id, 0 AS last, name AS variable, array_to_string(pages, ',') AS pages, CAST(len(pages) AS INTEGER) AS page_count, 'standard_variable' AS category, 'suffix_prefix' AS match_level, 'see ' || name AS raw_texts FROM vars
+  UNION ALL SELECT doc_id, 1, 'NOT SUBMITTED', string_agg(CAST(page AS VARCHAR), ',' ORDER BY page), CAST(count(*) AS INTEGER), 'not_submitted', '', '' FROM bags GROUP BY 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY last, variable) AS INTEGER) AS place, variable, pages, page_count, category, match_level, raw_texts FROM r""")
+def structural_index(spark, sf_dir):
+    _, notes, text = D.documents(spark, sf_dir)
+    rows = I.structural_index(notes, text, _vocabulary()).variables
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).alias("place"), "variable", F.col("page_string").alias("pages"), "page_count", "category", "match_level", F.array_join("raw_texts", " | ").alias("raw_texts"))
+
+
 # --- annotation texts
 
 

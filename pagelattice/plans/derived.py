@@ -65,6 +65,33 @@ def contract_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return contract, index, domains
 
 
+# --- documents: a Define-XML and annotations of each of 50, with the same names in all of them
+
+DOCUMENTS_SQL = """
+items AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS doc_id, 'P' || (p_partkey // 50) AS name, p_brand AS dataset, p_size AS s, p_partkey AS k,
+  CASE WHEN p_size % 2 = 0 THEN list_sort(list_distinct([p_size, 7])) ELSE [p_size] END AS xml,
+  CASE WHEN p_size % 3 = 0 THEN p_size + 1 ELSE p_size END AS seen FROM part),
+contract AS (SELECT * FROM items WHERE s % 5 <> 0),
+vars AS (SELECT doc_id, name, dataset, s, CASE WHEN s % 2 = 0 THEN list_sort(list_distinct([seen, 7])) ELSE [seen] END AS pages FROM items WHERE s % 7 <> 0),
+bags AS (SELECT doc_id, s AS page FROM items WHERE s % 11 = 0)"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Define-XML texts (doc_id, value), annotations (doc_id, page, seq, content) and pages (doc_id, page, text)."""
+    s, k = F.col("p_size"), F.col("p_partkey")
+    doc, name = (k % 50).cast("string").alias("doc_id"), F.concat(F.lit("P"), F.floor(k / 50).cast("string"))
+    part = read(spark, sf_dir, "part")
+    refs = F.when(s % 5 == 0, "").otherwise(F.concat(F.lit('<d:Origin Label="a > b"><d:PDFPageRef PageRefs="'), s.cast("string"), F.when(s % 2 == 0, " 7").otherwise(""), F.lit('"/></d:Origin>')))
+    item = F.concat(F.lit('<ItemDef Label="x > y" OID="IT.'), F.col("p_brand"), F.lit("."), name, F.lit('" Name="'), name, F.lit('">'), refs, F.lit("</ItemDef>"))
+    xml = part.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, item.alias("item")))), lambda r: r["item"]), "\n").alias("items"))
+    xml = xml.select("doc_id", F.concat(F.lit('<ODM xmlns:d="urn:d"><Study>'), "items", F.lit("</Study></ODM>")).alias("value"))
+    seen = F.when(s % 3 == 0, s + 1).otherwise(s).cast("int")
+    pages = F.explode(F.when(s % 2 == 0, F.array(seen, F.lit(7))).otherwise(F.array(seen)))
+    notes = part.where(s % 7 != 0).select(doc, pages.alias("page"), k.alias("seq"), F.concat(F.lit("see "), name).alias("content"))
+    text = part.where(s % 11 == 0).select(doc, s.cast("int").alias("page"), F.lit("Text that is Not  Submitted here").alias("text"))
+    return xml, notes, text
+
+
 # --- annotations: a text per line item
 
 VOCABULARY = {"dataset": ["AE", "DM", "VS", "BOLT", "RING"], "variable": ["GEAR", "WIDGET", "QNAM"], "blacklist": ["SMALL", "LARGE"], "dataset_affixes": ["--", "SUPP--", "FA--", "PRO--"], "variable_affixes": ["--", "'--XFN", "STA--", "--ED"]}

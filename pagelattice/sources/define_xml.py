@@ -9,7 +9,7 @@ from pagelattice.functions.text import oid_dataset
 from pagelattice.operators.reconcile import first_per_name
 
 #: An ItemDef at any depth below the root is brought to one list before parsing, so that a fixed schema reads all of them in document order.
-_ITEM = r"(?s)<(?:[\w.-]+:)?ItemDef\b(?:[^>]*/>|.*?</(?:[\w.-]+:)?ItemDef\s*>)"
+_ITEM = r"""(?s)<(?:[\w.-]+:)?ItemDef\b(?:(?:[^>"'/]++|"[^"]*"|'[^']*'|/(?!>))*+/>|.*?</(?:[\w.-]+:)?ItemDef\s*>)"""
 _REFS = r"""(?s)<(?:[\w.-]+:)?PDFPageRef\b[^>]*?\bPageRefs\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
@@ -29,7 +29,8 @@ def item_definitions(documents: DataFrame, text: str = "value") -> DataFrame:
     checked = F.from_xml(plain, "_corrupt string", {"mode": "FAILFAST", "columnNameOfCorruptRecord": "_corrupt"})
     rows = documents.select("doc_id", plain.alias("body"), checked.alias("checked"))
     items = rows.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(_ITEM), F.lit(0))).alias("pos", "item"))
-    opening = F.regexp_extract("item", r"(?s)^<[^>]*>", 0)
+    # an attribute's value may hold >
+    opening = F.regexp_extract("item", r"""(?s)^<(?:[^>"']++|"[^"]*"|'[^']*')*+>""", 0)
     parsed = F.from_xml(F.concat(F.regexp_replace(opening, r"/?>$", ""), F.lit("/>")), "_Name string, _OID string", {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
     refs = F.coalesce(F.nullif(F.regexp_extract("item", _REFS, 1), F.lit("")), F.regexp_extract("item", _REFS, 2))
     return items.select("doc_id", "pos", parsed.alias("p"), refs.alias("page_refs")).select("doc_id", "pos", F.col("p._Name").alias("name"), F.coalesce("p._OID", F.lit("")).alias("oid"), "page_refs")
@@ -52,7 +53,12 @@ def contract_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("variables"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("page_refs"), F.count_distinct(F.when(F.col("dataset") != "", F.col("dataset"))).alias("datasets"))
 
 
-def read_define_xml(spark: SparkSession, path: str) -> DataFrame:
-    """The contract of each Define-XML file under `path`."""
-    files = spark.read.text(path, wholetext=True).withColumn("doc_id", F.input_file_name())
+def document_name(path: Column) -> Column:
+    """A file's name without its folder and its last extension: what tells documents apart where nothing else is given."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def read_define_xml(spark: SparkSession, path: str, doc_id: Column | None = None) -> DataFrame:
+    """The contract of each Define-XML file under `path`. doc_id: made from the file's path, which input_file_name() gives; by default the name of the file."""
+    files = spark.read.text(path, wholetext=True).withColumn("doc_id", document_name(F.input_file_name()) if doc_id is None else doc_id)
     return contract(item_definitions(files))

@@ -1,7 +1,9 @@
 import pytest
 
+from pagelattice.operators import classify as C
+from pagelattice.operators import index as I
 from pagelattice.operators import reconcile as R
-from pagelattice.plans import report
+from pagelattice.plans import flow, report
 from pagelattice.sources import define_xml, gold, ocr, pdf, vocabulary
 
 XML = """<?xml version="1.0"?>
@@ -58,6 +60,26 @@ def test_cross_validation_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "detail")).first()["diff_type"] == "MATCH"
 
 
+def test_two_documents_are_kept_apart(spark, tmp_path):
+    """Two files of one item each, whose items have the same place: neither is held against the other's annotations."""
+    for name, item in (("one", "AAA"), ("two", "BBB")):
+        (tmp_path / f"{name}.xml").write_text(f'<ODM xmlns:def="http://b"><ItemDef Label="a > b" OID="IT.DM.{item}" Name="{item}"><def:PDFPageRef PageRefs="3"/></ItemDef></ODM>')
+    notes = spark.createDataFrame([("one", 3, 1, "BBB"), ("two", 3, 1, "BBB"), ("two", 4, 2, "CCC")], "doc_id string, page int, seq int, content string")
+    text = spark.createDataFrame([("two", 9, "not submitted, NOT SUBMITTED")], "doc_id string, page int, text string")
+    out = str(tmp_path / "out")
+    found = flow.cross_validate_files(spark, str(tmp_path / "*.xml"), notes, text, C.Vocabulary([], ["AAA", "BBB"], [], [], []), out)
+    assert {(r["doc_id"], r["XML_Variable"], r["diff_type"], r["PDF_Pages"]) for r in found.detail.collect()} == {("one", "AAA", "MISSING_IN_PDF", ""), ("two", "BBB", "MATCH", "3")}
+    assert {(r["doc_id"], r["PDF_Name"]) for r in found.extra_variables.collect()} == {("one", "BBB"), ("two", "CCC")}
+    assert {(r["doc_id"], r["matched"], r["missing_in_pdf"], r["extra_in_pdf_variables"]) for r in found.summary.collect()} == {("one", 0, 1, 1), ("two", 1, 0, 1)}
+    assert spark.read.option("header", True).csv(f"{out}/detail").count() == 2
+    index = I.structural_index(notes, text, C.Vocabulary([], ["AAA", "BBB"], [], [], []))
+    assert [(r["doc_id"], r["variable"], r["page_string"]) for r in index.in_order().collect()] == [("one", "BBB", "3"), ("two", "BBB", "3"), ("two", "CCC", "4"), ("two", "NOT SUBMITTED", "9,9")]
+    both = flow.reconcile_parsers(index, I.ocr_index(notes.where("page = 3"), C.Vocabulary([], ["AAA", "BBB"], [], [], [])))
+    assert {(r["doc_id"], r["consensus_count"], r["pymupdf_only_count"]) for r in both.summary.collect()} == {("one", 1, 0), ("two", 1, 2)}
+    with pytest.raises(ValueError):
+        R.cross_validate(define_xml.read_define_xml(spark, str(tmp_path / "*.xml")), index.variables.drop("doc_id"), index.domains)
+
+
 def test_gold(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2, 3, 4, 5, "AE")], gold.SCHEMA)
     gold.append_gold(rows, str(tmp_path / "g"))
