@@ -23,6 +23,8 @@ from pagelattice.llm.common import Memo, table, written
 SAMPLE = 20_000
 #: Terms that the model knows at most.
 TERMS = 4096
+#: Terms that are counted in pairs.
+PAIR_TERMS = 2048
 BUCKET_BITS = 22
 FACTORS = 8
 _WORD = re.compile(r"[^\W\d_]+")
@@ -59,42 +61,82 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def select_terms(counts: np.ndarray, totals: np.ndarray, most: int, least: int = 4) -> np.ndarray:
-    """The terms whose presence goes with the label most clearly, by the likelihood ratio. counts: [label, term] documents; totals: [label]."""
-    often = np.flatnonzero(counts.sum(axis=0) >= least)
-    counts, n = counts[:, often].astype(np.float64), totals.sum()
-    df, ratio = counts.sum(axis=0), np.zeros(len(often))
+def likelihood_ratio(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """How clearly presence goes with the label. counts: [label, term] documents; totals: [label]."""
+    counts, n = counts.astype(np.float64), totals.sum()
+    df, ratio = counts.sum(axis=0), np.zeros(counts.shape[1])
     with np.errstate(divide="ignore", invalid="ignore"):
         for y in (0, 1):
             for have, of in ((counts[y], df), (totals[y] - counts[y], n - df)):
                 ratio += np.where(have > 0, 2 * have * np.log(have * n / (totals[y] * of)), 0)
-    clear = np.flatnonzero(ratio > 15)
-    return np.sort(often[clear[np.argsort(-ratio[clear], kind="stable")[:most]]])
+    return ratio
 
 
-def fit(rows: list[tuple[np.ndarray, int]], terms: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4) -> Machine:
-    """rows: places of known terms, and label. Logistic loss, AdaGrad, batches of 256."""
+def select_terms(counts: np.ndarray, totals: np.ndarray, most: int, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that are clear alone, at most `most`, and the next PAIR_TERMS, which are to be counted in pairs; both sorted."""
+    often = np.flatnonzero(counts.sum(axis=0) >= least)
+    ratio = likelihood_ratio(counts[:, often], totals)
+    order = np.argsort(-ratio, kind="stable")
+    clear = order[: min(most, int((ratio > 15).sum()))]
+    return np.sort(often[clear]), np.sort(often[order[len(clear) : len(clear) + PAIR_TERMS]])
+
+
+def select_pairs(rows: list[tuple[np.ndarray, int]], terms: np.ndarray, totals: np.ndarray, least: int = 4) -> np.ndarray:
+    """The terms of the pairs that go with the label clearly, for the number of pairs, and far more so than either term. rows: sorted terms, and label."""
+    k = len(terms)
+    both = np.zeros((2, k, k), np.float32)
+    for y in (0, 1):
+        held: list[np.ndarray] = []
+
+        def add(y=y, held=held) -> None:
+            x = np.zeros((len(held), k), np.float32)
+            for i, t in enumerate(held):
+                x[i, t] = 1
+            both[y] += x.T @ x
+            held.clear()
+
+        for t, label in rows:
+            if label == y:
+                held.append(np.searchsorted(terms, np.intersect1d(t, terms, assume_unique=True)))
+                if len(held) == 2048:
+                    add()
+        if held:
+            add()
+    alone = likelihood_ratio(np.stack([np.diag(both[0]), np.diag(both[1])]), totals)
+    found = np.zeros(k, bool)
+    for i in range(k):
+        ratio = likelihood_ratio(both[:, i], totals)
+        clear = (both[0, i] + both[1, i] >= least) & (ratio > 40) & (ratio > np.maximum(alone, alone[i]) + 25)
+        clear[i] = False
+        if clear.any():
+            found[i] = True
+            found |= clear
+    return terms[found]
+
+
+def fit(rows: list[tuple[np.ndarray, int]], terms: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, factors: int = FACTORS) -> Machine:
+    """rows: places of known terms, and label. Logistic loss, AdaGrad, batches of 256. Without factors it is a linear model."""
     rng = np.random.default_rng(1)
     labels = np.array([y for _, y in rows], dtype=np.float64)
     share = float(labels.mean()) if len(rows) else 0.0
-    m = Machine(terms, float(np.log((share * len(rows) + 0.5) / ((1 - share) * len(rows) + 0.5))), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)))
+    m = Machine(terms, float(np.log((share * len(rows) + 0.5) / ((1 - share) * len(rows) + 0.5))), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors)))
     if not len(terms) or share in (0.0, 1.0):
         return m
-    gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), FACTORS), 1e-6), 1e-6
+    gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), factors), 1e-6), 1e-6
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
             places = [rows[i][0] for i in part]
             size = np.array([len(p) for p in places])
             idx, row = np.concatenate(places), np.repeat(np.arange(len(part)), size)
             v = m.factors[idx]
-            s = np.zeros((len(part), FACTORS))
+            s = np.zeros((len(part), factors))
             np.add.at(s, row, v)
             linear = np.bincount(row, m.weights[idx], len(part)) + m.bias
             z = linear + 0.5 * ((s * s).sum(axis=1) - np.bincount(row, (v * v).sum(axis=1), len(part)))
             g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) / len(part)
             used, at = np.unique(idx, return_inverse=True)
             dw = np.bincount(at, g[row], len(used)) + decay * m.weights[used]
-            dv = np.zeros((len(used), FACTORS))
+            dv = np.zeros((len(used), factors))
             np.add.at(dv, at, g[row, None] * (s[row] - v))
             dv += decay * m.factors[used]
             gw[used] += dw * dw
@@ -120,13 +162,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     # the sample is bounded, so it can be broadcast
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(chosen), "_id").select("_text", F.col("_label").alias("label"))
     found = written(rows.mapInArrow(run, "label int, terms binary"), "toxicity-sample")
+    if found.count() > sample:  # an id with several documents or labels
+        found = written(found.orderBy(F.xxhash64("terms", "label")).limit(sample), "toxicity-sample")
     counts, totals = np.zeros((2, 1 << BUCKET_BITS), np.int32), np.zeros(2)
     for r in found.toLocalIterator():
         counts[r["label"], np.frombuffer(r["terms"], "<u4")] += 1
         totals[r["label"]] += 1
-    terms = select_terms(counts, totals, TERMS) if totals.all() else np.empty(0, np.int64)
-    rows = [(np.searchsorted(terms, np.intersect1d(np.frombuffer(r["terms"], "<u4"), terms, assume_unique=True)), r["label"]) for r in found.toLocalIterator()]
-    return fit(rows, terms)
+    if not totals.all():
+        terms, pairs = np.empty(0, np.int64), np.empty(0, np.int64)
+    else:
+        terms, pairs = select_terms(counts, totals, TERMS)
+    known = np.union1d(terms, pairs)
+    rows = [(np.intersect1d(np.frombuffer(r["terms"], "<u4"), known, assume_unique=True), r["label"]) for r in found.toLocalIterator()]
+    if len(pairs):
+        terms = np.union1d(terms, select_pairs(rows, pairs, totals))
+    return fit([(np.searchsorted(terms, np.intersect1d(t, terms, assume_unique=True)), y) for t, y in rows], terms)
 
 
 def held_out(doc_id):

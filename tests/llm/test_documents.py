@@ -196,14 +196,58 @@ def test_toxicity_learns_pairs(spark):
     assert len(rows) > 200 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     right = np.mean([r["predicted"] == r["toxic"] for r in rows])
     assert right > 0.97
-    # weights alone could not tell two harmless terms from the pair
-    plain = toxicity.Machine(machine.terms, machine.bias, machine.weights, np.zeros_like(machine.factors))
-    alone = toxicity.score(docs, plain).join(labels, "doc_id").where("held_out").collect()
-    assert right > np.mean([r["predicted"] == r["toxic"] for r in alone])
     kept = toxicity.reject(docs, machine)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in toxicity.score(docs, machine).where("predicted = 0").collect()}
 
 
+def test_toxicity_pairs_whose_terms_tell_nothing_alone():
+    """Each of two terms has the label as often as its absence has; only with the other it decides. A linear model fitted to the same rows cannot tell."""
+    rnd = random.Random(4)
+    term = lambda w: toxicity.word_terms(w)[0]
+    rows = []
+    for _ in range(6000):
+        one, other = rnd.random() < 0.3, rnd.random() < 0.3
+        toxic = rnd.random() < (0.95 if one and other else 0.02 if one or other else 0.418)
+        w = [f"w{rnd.randrange(300)}" for _ in range(12)] + ["folk"] * one + ["slur"] * other
+        rows.append((np.unique([term(x) for x in w]), int(toxic), one, other))
+    counts, totals = np.zeros((2, 1 << toxicity.BUCKET_BITS), np.int32), np.zeros(2)
+    for t, y, _, _ in rows:
+        counts[y, t] += 1
+        totals[y] += 1
+    clear, weak = toxicity.select_terms(counts, totals, toxicity.TERMS)
+    assert not {term("folk"), term("slur")} & set(clear.tolist())
+    terms = np.union1d(clear, toxicity.select_pairs([(t, y) for t, y, _, _ in rows], weak, totals))
+    assert {term("folk"), term("slur")} <= set(terms.tolist())
+    known = [(np.flatnonzero(np.isin(terms, t)), y) for t, y, _, _ in rows]
+
+    def right(machine):
+        held = [(k, one and other) for (k, _), (_, _, one, other) in zip(known, rows, strict=True) if one or other]
+        return np.mean([(machine.score(k) >= 0.3) == both for k, both in held])
+
+    assert right(toxicity.fit(known, terms)) > 0.98 and right(toxicity.fit(known, terms, factors=0)) < 0.9
+
+
+def test_toxicity_score_is_the_sum_over_all_pairs():
+    rnd = np.random.default_rng(1)
+    m = toxicity.Machine(np.arange(40), 0.3, rnd.normal(size=40), rnd.normal(0, 0.3, (40, 8)))
+    for n in (0, 1, 2, 17):
+        known = rnd.choice(40, n, replace=False)
+        z = m.bias + sum(m.weights[i] for i in known) + sum(float(m.factors[i] @ m.factors[j]) for a, i in enumerate(known) for j in known[a + 1 :])
+        assert m.score(known) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_sample_is_bounded_by_documents(spark):
+    docs, labels = labelled(spark, 200)
+    seen = []
+    real = toxicity.fit
+    try:
+        toxicity.fit = lambda rows, terms: (seen.append(len(rows)), real(rows, terms))[1]
+        toxicity.train(docs.union(docs).union(docs), labels, sample=100)
+    finally:
+        toxicity.fit = real
+    assert seen == [100]
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = labelled(spark, 40)
     machine = toxicity.train(docs, labels.limit(0))
