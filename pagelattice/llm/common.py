@@ -42,12 +42,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """`df` as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: cuts the lineage, and survives the loss of any executor. It is deleted when the application ends."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def delete(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    files, place = _file_system(df.sparkSession, df._written_to)
+    files.delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

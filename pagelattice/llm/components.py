@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import written
+from pagelattice.llm.common import delete, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component) of every node in `edges`, component being the smallest node that links reach; edges with a null end and loops count for nothing.
 
     A node's neighbours are never gathered: each step takes minima by key, which are combined before they are shuffled, and joins
-    them back. Each round is written to the shared folder; rounds end when a round changes nothing, after about log2 of the longest path.
+    them back. Each round is written to the shared folder, and the one before it deleted; rounds end when a round changes nothing, after about log2 of the longest path.
     """
     now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     now = written(now, "components")
@@ -36,5 +36,6 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if state == found or not found["n"]:
             break
         state = found
-        now = written(_small_star(_large_star(now)), "components")
+        before, now = now, written(_small_star(_large_star(now)), "components")
+        delete(before)
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())

@@ -147,7 +147,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -
     dealt = items.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(parts)))
     sizes = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = written(sizes.select("length", "_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "packing-sizes", 1)
+    bases = written(sizes.select("length", "_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "packing-sizes")
     # at most `capacity` rows
     counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     if any(not 1 <= n <= capacity for n in counts):

@@ -175,9 +175,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     """Encodes all documents and writes them in ascending order of doc_id to shards of about `shard_bytes` of text under `folder`.
 
     Returns the manifest, itself a table in `folder`: path, shard (ascending in doc_id), bytes, n_docs, n_tokens, start (tokens in the shards before).
-    A null text counts as empty; null identifiers come first; documents with one identifier are all kept, next to each other, ordered by text;
-    an empty table gives an empty manifest. A task writes under a name of its own and renames when it is done, so a task that is
-    repeated after a loss leaves the same shard.
+    A null text counts as empty; null identifiers come first; documents with one identifier are all kept, next to each other, ordered by a hash of their
+    text and the text, and can go over several shards; an empty table gives an empty manifest. Every attempt of a task writes a file of its own name, and the manifest, which Spark commits,
+    names the file of the attempt that counts: a task that is repeated after a loss meets no file of the first attempt, which is left unread.
     """
     shards = max(1, -(-text_bytes(docs, text) // shard_bytes))
 
@@ -188,29 +188,44 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         encoder, end = shared_encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         wide = encoder.tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         place, base = pafs.FileSystem.from_uri(folder)
-        own, path = f"{base}/.{shard:07d}-{uuid.uuid4().hex}", f"{base}/{shard:07d}.sst"
+        path = f"{shard:07d}-{uuid.uuid4().hex}.sst"
         writer = None
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if writer is None:
                     place.create_dir(base, recursive=True)
-                    out = place.open_output_stream(own)
+                    out = place.open_output_stream(f"{base}/{path}")
                     writer = ShardWriter(out, wide)
                 writer.add(i, encoder.encode(t) + end)
         if writer is not None:
             writer.close()
             n = out.tell()
             out.close()
-            place.move(own, path)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{shard:07d}.sst"], "bytes": pa.array([n], pa.int64()), "n_docs": pa.array([len(writer.keys)], pa.int64()), "n_tokens": pa.array([writer.tokens], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "bytes": pa.array([n], pa.int64()), "n_docs": pa.array([len(writer.keys)], pa.int64()), "n_tokens": pa.array([writer.tokens], pa.int64())})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("order", F.xxhash64("text"))
+    rows = rows.repartitionByRange(shards, "doc_id", "order").sortWithinPartitions("doc_id", "order", "text").drop("order")
     rows.mapInArrow(run, "shard int, path string, bytes long, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
     # one row per shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return docs.sparkSession.read.schema("shard int, path string, bytes long, n_docs long, n_tokens long").parquet(f"{folder}/manifest").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+def lookup(manifest: DataFrame, folder: str, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id and ids of every document with one of the identifiers: each shard is asked by its Bloom filter, then its index, and reads only the blocks that can hold one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, base = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            for r in b.to_pylist():
+                with place.open_input_file(f"{base}/{r['path']}") as f:
+                    reader = ShardReader(f, r["bytes"])
+                    found = [(i, np.frombuffer(x, "<u4")) for i in dict.fromkeys(doc_ids) for x in reader.get(i)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return manifest.select("path", "bytes").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def read_shards(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     """Every document of the shards: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32, and ids where asked for."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelattice.llm.common import NULL_ID, odd_numbers, slices, table, text_bytes, word_hashes, written
+from pagelattice.llm.common import NULL_ID, odd_numbers, slices, table, word_hashes, written
 
 WIDTH = 20
 ROWS = 2
@@ -204,12 +204,16 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS, doc_i
     earlier: in a smaller doc_id, or earlier in the same document; windows are judged on the input. kept_text is the text itself where
     nothing is removed, else the kept words joined by one space; kept_sha256 is of the kept words joined by one space, in all rows.
 
-    A null text has no words and stays null. Rows without an id come after all others, as one document; rows that share an id are
-    one document too, so of two equal rows neither is earlier and both keep their words. Texts shorter than a window are kept; an empty
+    A null text has no words and stays null. Rows without an id come after all others, each text as a document of its own, in the order of a hash of
+    the texts. Rows that share an id are one document, so of two equal rows, with an id or without, neither is earlier and both keep their words. Texts shorter than a window are kept; an empty
     table gives an empty result; columns are told apart by place, so any names may stand beside these.
     """
     spark = docs.sparkSession
-    size = text_bytes(docs, text)
+    about = docs.agg(F.sum(F.octet_length(F.col(text))), F.max(F.col(doc_id).cast("long"))).first()
+    size, last = int(about[0] or 0), max(0, about[1] or 0)
+    # ids behind the last one, for rows without one
+    room = min(1 << 40, NULL_ID - last)
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID) if room < 1 << 40 else F.lit(last + 1) + F.pmod(F.xxhash64(text), F.lit(room)))
     windows = max(1, size // BYTES_A_WORD)
     bits = spark.sparkContext.broadcast(sketch(docs, text, width, windows, most_bits))
     buckets, blocks = max(8, windows // 2_000_000), max(8, size // (4 << 20))
@@ -228,7 +232,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS, doc_i
 
         n = 0
         for b in batches:
-            ids, texts = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             for i, j in slices(texts):
                 w = Words(texts[i:j], width)
                 hit = np.flatnonzero(repeated(bits.value, w.k1, w.k2))
@@ -258,17 +262,17 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS, doc_i
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.ascontiguousarray(b.column(at_id).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+            ids = np.ascontiguousarray(b.column(at_id).to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block_of(ids))], names=[*b.schema.names, "block"])
 
     names = columns or docs.columns
     at_id, at_text = len(names), len(names) + 1
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(doc_id).cast("long").alias(f"c{at_id}"), F.col(text).alias(f"c{at_text}"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], key.alias(f"c{at_id}"), F.col(text).alias(f"c{at_text}"))
     out_schema = T.StructType([*rows.schema.fields[: len(names)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
-        ids, texts = left.column(at_id).fill_null(NULL_ID).to_numpy(), left.column(at_text).to_pylist()
+        ids, texts = left.column(at_id).to_numpy(), left.column(at_text).to_pylist()
         known, own = np.unique(ids, return_inverse=True)
         parts = [unshuffled(p, _PLACE) for p in right["payload"].to_pylist()]
         first = np.sort(np.concatenate([np.searchsorted(known, d) << 32 | s.astype(np.int64) for d, s in parts])) if parts else np.empty(0, np.int64)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from pagelattice.llm.common import table
 
-BLOCK, QUERIES = 8192, 1024
+BLOCK, QUERIES = 8192, 8192
 
 
 class SortedLists:

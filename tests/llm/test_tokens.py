@@ -199,5 +199,15 @@ def test_shards(spark, tokenizer_path):
     folder = new_folder(spark, "test-shards")
     assert sstable.read_shards(sstable.write_shards(docs.limit(0), tokenizer_path("byte_bpe_50k.json"), folder), folder).count() == 0
     folder = new_folder(spark, "test-shards")
-    odd = spark.createDataFrame([(None, "a"), (2, "b"), (2, "b")], "doc_id long, text string")
+    odd = spark.createDataFrame([(None, "a", 1, 2), (2, "b", 3, 4), (2, "b", 3, 4)], "doc_id long, text string, order int, start int")
     assert [r["doc_id"] for r in sstable.read_shards(sstable.write_shards(odd, tokenizer_path("byte_bpe_50k.json"), folder), folder).orderBy("start").collect()] == [None, 2, 2]
+
+
+def test_shards_of_one_identifier_are_split_and_found_again(spark, tokenizer_path):
+    library, folder = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), new_folder(spark, "test-shards")
+    rows = [(7 if i % 3 else i, f"text {i} " * 20) for i in range(600)] + [(None, f"none {i} " * 20) for i in range(300)]
+    manifest = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json"), folder, shard_bytes=1 << 13)
+    assert manifest.count() > 8 and manifest.agg({"n_docs": "max"}).first()[0] < 300
+    assert [r["doc_id"] for r in sstable.read_shards(manifest, folder).orderBy("start").collect()] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["ids"]) for r in sstable.lookup(manifest, folder, [7, None, 3, 4]).collect()))
+    assert got == sorted((i is not None, i or 0, [*library.encode(t, add_special_tokens=False).ids, 0]) for i, t in rows if i in (7, None, 3))
