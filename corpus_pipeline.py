@@ -29,9 +29,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 20 words or more that an earlier document has, or the same one further up, go; the text of a document that loses none
     stays as it is, and n_chars follows the text."""
     columns = docs.columns
-    out = substring_dedup.dedup(docs, columns=columns)
-    text = F.col("kept_text")
-    return out.select(*[text.alias(c) if c == "text" else F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    # by place: the columns of documents can have any names
+    out = substring_dedup.dedup(docs, columns=columns).toDF(*(f"d{i}" for i in range(len(columns))), "n_words", "n_removed", "sha256", "kept")
+    removed = F.col("n_removed") > 0
+    values = {c: F.col(f"d{i}") for i, c in enumerate(columns)}
+    values["text"] = F.col("kept")
+    if "n_chars" in values:
+        values["n_chars"] = F.when(removed, F.length("kept")).otherwise(values["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[v.alias(c) for c, v in values.items()])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
