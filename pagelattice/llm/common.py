@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -86,6 +88,19 @@ def slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a part's texts take about `limit` bytes, one row at least: an Arrow batch has a number of rows, whatever their size.
+
+    In the end what the task has freed goes back to the system, as the worker process lives on beside those of other stages."""
+    for b in batches:
+        rows = max(1, len(b) * limit // max(1, b.column(column).nbytes))
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Memo(dict):
     """Values of `make`, kept for at most `limit` keys of at most `longest` characters; when it is full the later half goes (what is frequent came first)."""
 

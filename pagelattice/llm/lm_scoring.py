@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import Memo, slices, table, word_hashes, written
+from pagelattice.llm.common import Memo, in_parts, slices, table, word_hashes, written
 
 #: Words known by name are this many times the cube root of all words of the corpus: about 4,200 of 26 million, 300,000 of ten trillion.
 NAMED_BY_ROOT = 14
@@ -73,7 +73,7 @@ def vocabulary(docs: DataFrame, text: str) -> Words:
             held.clear()
             return b
 
-        for b in batches:
+        for b in in_parts(batches, 0):
             for t in b.column(0).to_pylist():
                 if t:
                     held.update(t.encode().split())
@@ -128,7 +128,7 @@ def encoded(docs: DataFrame, words: Words, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(known.value)
-        for b in batches:
+        for b in in_parts(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.ids(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
     return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary"), "lm-ids")

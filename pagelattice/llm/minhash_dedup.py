@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import odd_numbers, table, word_hashes, written
+from pagelattice.llm.common import in_parts, odd_numbers, table, word_hashes, written
 from pagelattice.llm.components import connected_components
 from pagelattice.llm.substring_dedup import mixed
 
@@ -72,7 +72,7 @@ def _signed(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = factors()
-        for b in batches:
+        for b in in_parts(batches, 1):
             cols: list[list] = [[], [], [], [], []]
             for t in b.column(1).to_pylist():
                 s = shingles(t, k)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagelattice.llm.chunks import shared_encoder
-from pagelattice.llm.common import table, written
+from pagelattice.llm.common import in_parts, table, written
 
 CAPACITY = 2048
 
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = shared_encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in in_parts(batches, 1):
             cols: list[list] = [[], [], [], [], []]
             for i, ids in zip(b.column(0).to_pylist(), map(encoder.encode, b.column(1).to_pylist()), strict=True):
                 ids += end

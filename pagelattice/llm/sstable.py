@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelattice.llm.chunks import shared_encoder
-from pagelattice.llm.common import new_folder, table, text_bytes
+from pagelattice.llm.common import in_parts, new_folder, table, text_bytes
 
 MAGIC = b"plSSTv01"
 FOOTER = struct.Struct("<9Q8s")
@@ -190,7 +190,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         place, base = pafs.FileSystem.from_uri(folder)
         path = f"{shard:07d}-{uuid.uuid4().hex}.sst"
         writer = None
-        for b in batches:
+        for b in in_parts(batches, 1):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if writer is None:
                     place.create_dir(base, recursive=True)

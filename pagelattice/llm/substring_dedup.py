@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelattice.llm.common import NULL_ID, odd_numbers, slices, table, word_hashes, written
+from pagelattice.llm.common import NULL_ID, in_parts, odd_numbers, slices, table, word_hashes, written
 
 WIDTH = 20
 ROWS = 2
@@ -154,7 +154,7 @@ def sketch(docs: DataFrame, text: str, width: int, windows: int, most_bits: int,
                 held[row].clear()
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["row", "slice", "payload"])
 
-        for b in batches:
+        for b in in_parts(batches, 0):
             texts = b.column(0).to_pylist()
             for i, j in slices(texts):
                 w = Words(texts[i:j], width)
@@ -231,7 +231,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS, doc_i
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "payload"])
 
         n = 0
-        for b in batches:
+        for b in in_parts(batches, 1):
             ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             for i, j in slices(texts):
                 w = Words(texts[i:j], width)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import Memo, table, written
+from pagelattice.llm.common import Memo, in_parts, table, written
 
 #: Labelled rows that are learned from at most: those with the smallest hashes of doc_id.
 SAMPLE = 20_000
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(word_terms, 200_000)
-        for b in batches:
+        for b in in_parts(batches, 0):
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([text_terms(t, memo).astype("<u4").tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["label", "terms"])
 
     # the sample is bounded, so it can be broadcast
@@ -192,7 +192,7 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
         m = shared.value
         place = {int(t): i for i, t in enumerate(m.terms)}
         memo = Memo(lambda w: tuple(place[t] for t in word_terms(w) if t in place), 400_000)
-        for b in batches:
+        for b in in_parts(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(text_terms(t, memo)) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -208,7 +208,7 @@ def reject(docs: DataFrame, machine: Machine, text: str = "text", threshold: flo
         m = shared.value
         place = {int(t): i for i, t in enumerate(m.terms)}
         memo = Memo(lambda w: tuple(place[t] for t in word_terms(w) if t in place), 400_000)
-        for b in batches:
+        for b in in_parts(batches, at):
             yield b.filter(pa.array([m.score(text_terms(t, memo)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm.chunks import ChunkEncoder
-from pagelattice.llm.common import slices, table
+from pagelattice.llm.common import in_parts, slices, table
 
 #: Characters on each side that a window has at first.
 REACH = 32
@@ -267,7 +267,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, leaf: int = 2048, doc_id: str
         encoder = shared_encoder(tokenizer, leaf)
         decimal, token = encoder.decimal, encoder.token
         done = (lambda s: hashlib.sha256(s.encode()).hexdigest()) if digest else str
-        for b in batches:
+        for b in in_parts(batches, 1):
             cols: list[list] = [[], [], [], []]
             texts = b.column(1).to_pylist()
             for i, j in slices(texts):
