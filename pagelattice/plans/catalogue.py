@@ -442,7 +442,22 @@ def term_index_pages(spark, sf_dir):
     return I.term_index(_structural(spark, sf_dir)[1]).select("doc_id", "term", F.col("page_string").alias("pages"), "page_count")
 
 
-@query()
+#: level * 10 + rank of the category, as folded: the largest counts.
+_OCR_CLASS = """CASE WHEN regexp_matches(upper(content), '\\b' || lhs || '\\s*\\(') OR lhs IN {dataset} THEN 33 WHEN lhs IN {variable} THEN 32 WHEN starts_with(lhs, 'STA') OR ends_with(lhs, 'ED') THEN 22
+  WHEN starts_with(lhs, 'SUPP') OR starts_with(lhs, 'FA') OR starts_with(lhs, 'PRO') THEN 23 WHEN regexp_matches(content, '\\bSUPP[A-Z]{{2,8}}\\b') THEN 11 ELSE 0 END""".format(dataset=_SQL_LIST(D.VOCABULARY["dataset"]), variable=_SQL_LIST(D.VOCABULARY["variable"]))
+
+
+@query(f"""
+WITH {D.ANNOTATIONS_SQL}, {D.CLEAN_SQL}, {_OCCURRENCES},
+more AS (SELECT doc_id, page, seq, content, lhs, term, contains(term, '=') AS is_pair FROM occ UNION ALL SELECT doc_id, page, seq, content, 'QNAM', 'QNAM', false FROM texts WHERE starts_with(content, 'QNAM=')),
+c AS (SELECT *, {_OCR_CLASS} AS class, lhs IN {_SQL_LIST(D.VOCABULARY["dataset"])} AS known,
+  regexp_matches(upper(content), '\\b' || lhs || '\\s*[=:;,(]') OR regexp_matches(upper(content), '\\b' || lhs || '\\s+(?:WHEN|IF|THEN)\\b') OR len(regexp_extract_all(content, '\\S+')) <= 2 AS strong FROM more),
+d AS (SELECT * REPLACE (CASE WHEN NOT is_pair AND class % 10 = 3 AND NOT known AND NOT starts_with(lhs, 'SUPP') AND NOT regexp_matches(upper(content), '\\b' || lhs || '\\s*[=(]') THEN 0 ELSE class END AS class) FROM c),
+k AS (SELECT * FROM d WHERE is_pair OR strong OR NOT (class = 0 OR (class % 10 = 2 AND length(lhs) <= 3 AND NOT known) OR (class // 10 = 2 AND length(lhs) <= 2 AND NOT known) OR (class % 10 = 3 AND length(lhs) <= 2 AND NOT known))),
+r AS (SELECT doc_id, term, string_agg(content, ' | ' ORDER BY s) AS raw_texts FROM (SELECT doc_id, term, content, min(seq) AS s FROM k GROUP BY 1, 2, 3) GROUP BY 1, 2),
+g AS (SELECT doc_id, term, list_sort(list(DISTINCT page)) AS pages, max(class) AS class FROM k GROUP BY 1, 2)
+SELECT doc_id, term, array_to_string(pages, ',') AS page_string, CAST(len(pages) AS INTEGER) AS page_count, CASE class % 10 WHEN 3 THEN 'dataset_name' WHEN 2 THEN 'standard_variable' WHEN 1 THEN 'supp_variable' ELSE 'unknown' END AS category,
+  CASE class // 10 WHEN 3 THEN 'exact' WHEN 2 THEN 'suffix_prefix' WHEN 1 THEN 'supp' ELSE 'none' END AS match_level, raw_texts FROM g JOIN r USING (doc_id, term)""")
 def term_index_ocr(spark, sf_dir):
     texts = I.clean_annotations(D.annotations(spark, sf_dir))
     return I.term_index(I.occurrences(texts, _vocabulary(), "ocr")).select("doc_id", "term", "page_string", "page_count", "category", "match_level", F.array_join("raw_texts", " | ").alias("raw_texts"))
