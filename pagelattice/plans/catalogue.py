@@ -503,6 +503,16 @@ def annotation_profile(spark, sf_dir):
     return I.annotation_profile(rows.withColumn("content", F.when(~hidden, F.col("content")))).withColumn("readable_ratio", F.round("readable_ratio", 6))
 
 
+@query(f"""WITH {D.ANNOTATIONS_SQL}, c AS (SELECT doc_id, CASE WHEN CAST(doc_id AS INTEGER) % 3 = 0 THEN 'flat' WHEN CAST(doc_id AS INTEGER) % 3 = 1 AND page % 2 = 0 THEN 'weak' ELSE 'whole' END AS kind FROM annotations),
+d AS (SELECT doc_id, CASE WHEN CAST(doc_id AS INTEGER) % 3 = 0 THEN 'annotation_flattened' WHEN count(*) FILTER (WHERE kind = 'weak') * 5 > count(*) THEN 'partial_weak_annotation' ELSE 'msg2_readable' END AS type_key FROM c GROUP BY 1)
+SELECT doc_id, type_key, CASE type_key WHEN 'annotation_flattened' THEN 'ocr' WHEN 'msg2_readable' THEN 'structural' ELSE 'structural,ocr' END AS parsers FROM d""")
+def parser_routing(spark, sf_dir):
+    third = F.col("doc_id").cast("int") % 3
+    hidden = (third == 0) | ((third == 1) & (F.col("page") % 2 == 0))
+    kinds = I.annotation_profile(D.annotations(spark, sf_dir).withColumn("content", F.when(~hidden, F.col("content"))))
+    return kinds.select("doc_id", "type_key", F.array_join(I.recommended_parsers(F.col("type_key")), ",").alias("parsers"))
+
+
 @query(f"WITH {D.ANNOTATIONS_SQL}, c AS (SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN '' ELSE content END AS content FROM annotations) SELECT doc_id, count(*) FILTER (WHERE content <> '') AS with_content, count(*) AS annotations, round(count(*) FILTER (WHERE content <> '') / count(*), 6) AS coverage FROM c WHERE page <= 10 GROUP BY 1")
 def annotation_coverage(spark, sf_dir):
     rows = D.annotations(spark, sf_dir)
@@ -561,10 +571,12 @@ def parser_summary(spark, sf_dir):
     return _sides(spark, sf_dir).summary
 
 
-@query("SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE b AND NOT a) AS right_only FROM (SELECT p_brand, bool_or(p_size % 3 = 0 AND p_partkey % 2 = 0) AS a, bool_or(p_size % 5 = 0 AND p_partkey % 3 = 0) AS b FROM (SELECT upper(p_brand || p_size % 7) AS p_brand, p_size, p_partkey FROM part) GROUP BY 1)")
+@query("""WITH a AS (SELECT DISTINCT upper(p_brand || p_size % 7) AS n FROM part), b AS (SELECT DISTINCT upper(p_brand || p_size % 11) AS n FROM part)
+SELECT (SELECT count(*) FROM a SEMI JOIN b USING (n)) AS both, (SELECT count(*) FROM a ANTI JOIN b USING (n)) AS left_only, (SELECT count(*) FROM b ANTI JOIN a USING (n)) AS right_only""")
 def parser_name_overlap(spark, sf_dir):
-    p = D.read(spark, sf_dir, "part").withColumn("variable", F.concat("p_brand", (F.col("p_size") % 7).cast("string")))
-    return R.name_overlap(p.where("p_size % 3 = 0 and p_partkey % 2 = 0"), p.where("p_size % 5 = 0 and p_partkey % 3 = 0"))
+    p = D.read(spark, sf_dir, "part")
+    side = lambda n: p.select(F.concat("p_brand", (F.col("p_size") % n).cast("string")).alias("variable"))
+    return R.name_overlap(side(7), side(11))
 
 
 # --- boxes and readings
@@ -687,14 +699,14 @@ def mean_confidence(spark, sf_dir):
     return B.mean_confidence(D.readings(spark, sf_dir).withColumn("conf", F.col("conf") - 0.3), ["box"]).withColumn("mean_conf", F.round("mean_conf", 6))
 
 
-_TOKENS_SQL = "t AS (SELECT DISTINCT upper(substr(p_name, 1, 4)) || (p_size % 30) AS token FROM part), v AS (SELECT DISTINCT upper(substr(p_name, 1, 4)) || (p_size % 30 + p_partkey % 2) || CASE WHEN p_partkey % 3 = 0 THEN 'X' ELSE '' END AS term FROM part WHERE p_partkey % 11 = 0)"
+_TOKENS_SQL = "t AS (SELECT DISTINCT upper(substr(p_name, 1, 4)) || (p_size % 30) AS token FROM part), v AS (SELECT DISTINCT upper(substr(p_name, 1, 4)) || (p_size % 3 * 10) || CASE WHEN p_partkey % 3 = 0 THEN 'X' ELSE '' END AS term FROM part)"
 
 
 def _tokens(spark, sf_dir):
     p = D.read(spark, sf_dir, "part")
     start = F.upper(F.substring("p_name", 1, 4))
     tokens = p.select(F.concat(start, (F.col("p_size") % 30).cast("string")).alias("token"))
-    terms = p.where("p_partkey % 11 = 0").select(F.concat(start, (F.col("p_size") % 30 + F.col("p_partkey") % 2).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "X").otherwise("")).alias("term"))
+    terms = p.select(F.concat(start, (F.col("p_size") % 3 * 10).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "X").otherwise("")).alias("term"))
     return tokens, terms
 
 
@@ -740,6 +752,11 @@ def _report(spark, sf_dir):
     return index, domains
 
 
+@query(f"WITH {_REPORT_SQL} SELECT * FROM alls ORDER BY list_position(['Domain', 'Variable', 'NOT SUBMITTED'], Classification), Name LIMIT {report.TABLE_ROWS}")
+def report_first_rows(spark, sf_dir):
+    return report.first_rows(report.result(*_report(spark, sf_dir)))
+
+
 @query(f"WITH {_REPORT_SQL} SELECT *, CAST(row_number() OVER (ORDER BY list_position(['Domain', 'Variable', 'NOT SUBMITTED'], Classification), Name) AS INTEGER) AS place FROM alls")
 def report_union_sorted(spark, sf_dir):
     rows = report.result(*_report(spark, sf_dir))

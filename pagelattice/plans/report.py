@@ -9,6 +9,8 @@ from pagelattice.operators.reconcile import DATASET_CATEGORIES
 
 #: Order of the classes in a report.
 CLASS_ORDER = ["Domain", "Variable", "NOT SUBMITTED"]
+#: Rows that a table on a screen shows, and pages of a listing of single steps.
+TABLE_ROWS, LISTED_PAGES = 800, 50
 RESULT_COLUMNS = ["Classification", "Name", "Pages", "PageCount", "Category", "RawTexts"]
 SUMMARY_COLUMNS = ["Dataset", "XML_Variable_Count", "MATCH", "VLM_RESOLVED", "PAGE_MISMATCH", "MISSING_IN_PDF", "LOW_CONFIDENCE"]
 DETAIL_COLUMNS = ["XML_Dataset", "XML_Variable", "XML_Pages", "XML_PageCount", "PDF_Matched_Name", "PDF_Pages", "PDF_PageCount", "diff_type", "page_subset", "match_path", "page_diff_detail", "note"]
@@ -49,6 +51,11 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(class_rank(F.col("Classification")), "Name")
 
 
+def first_rows(rows: DataFrame, limit: int = TABLE_ROWS) -> DataFrame:
+    """What a screen shows of a report: its first rows in order."""
+    return in_order(rows).limit(limit)
+
+
 def unmatched(rows: DataFrame) -> DataFrame:
     return rows.where("Category = 'unknown'")
 
