@@ -126,7 +126,6 @@ def links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, vec
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(F.coalesce(whole, F.lit(False)), plain).alias("v"), F.col(label).cast("string").alias("label"))
     hashed = rows.withColumn("ha", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "label", "v"))).withColumn("hb", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(2), "v", "label")))
     nodes = written(hashed.where("v is not null").groupBy("ha", "hb").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label")).withColumn("dim", F.size("v")).withColumn("node", F.xxhash64("ha", "hb")), "projection-nodes")
-    kind = nodes.schema["v"].dataType
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +138,7 @@ def links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, vec
                     now = (begin <= p) & (p < end)
                     if now.any():
                         rows = part.filter(pa.array(now))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), p, np.int32)), *(rows.column(c) for c in ("label", "dim")), pa.array(_keys(x[now], p)), rows.column("id"), rows.column("v")], names=["pass", "label", "dim", "key", "id", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), p, np.int32)), *(rows.column(c) for c in ("label", "dim")), pa.array(_keys(x[now], p)), rows.column("id"), rows.column("node")], names=["pass", "label", "dim", "key", "id", "node"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -150,8 +149,8 @@ def links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, vec
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], names=[*b.schema.names, "part", "at"])
             at += n
 
-    schema = T.StructType().add("pass", "integer").add("label", "string").add("dim", "integer").add("key", "long").add("id", "long").add("v", kind)
-    order = ["pass", "label", "dim", "key", "id"]
+    schema = T.StructType().add("pass", "integer").add("label", "string").add("dim", "integer").add("key", "long").add("id", "long").add("node", "long")
+    order = ["pass", "label", "dim", "key", "id", "node"]
     ranked_schema = T.StructType([*schema.fields]).add("part", "integer").add("at", "long")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -171,13 +170,15 @@ def links(vectors: DataFrame, threshold: float = 0.98, window: int = WINDOW, vec
     def compared(r: int) -> DataFrame:
         """The pairs of round r: the passes of the label in round 0, PASSES others in each further round."""
         begin, end = (F.lit(0), F.col("passes")) if r == 0 else (F.col("passes") + (r - 1) * PASSES, F.col("passes") + r * PASSES)
-        spread = centred.select("label", "dim", "id", "v", "centre", begin.alias("begin"), end.alias("end")).mapInArrow(expand, schema).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, ranked_schema)
+        spread = centred.select("label", "dim", "id", "node", "v", "centre", begin.alias("begin"), end.alias("end")).mapInArrow(expand, schema).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, ranked_schema)
+        # the keys alone are sorted; vectors are fetched by zone
         spread = written(spread, "projection-order")
         # one row per partition
         before = spread.groupBy("part").agg(F.count("*").alias("rows")).withColumn("base", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         ranked = spread.join(before.select("part", "base"), "part").withColumn("rank", F.col("base") + F.col("at"))
         zone = F.floor(F.col("rank") / ZONE)
         zoned = ranked.withColumn("zone", F.explode(F.when((F.col("rank") % ZONE < window) & (zone > 0), F.array(zone, zone - 1)).otherwise(F.array(zone))))
+        zoned = zoned.select("pass", "label", "dim", "id", "node", "rank", "zone").join(nodes.select("node", "v"), "node")
         return written(zoned.groupBy("zone").applyInArrow(lambda key, t: compare(t), "a long, b long"), "projection-pairs")
 
     pairs = compared(0)
