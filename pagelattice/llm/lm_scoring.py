@@ -265,9 +265,19 @@ def _unflat(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]
     return out
 
 
-def places(n: int, r: int, rounds: int) -> np.ndarray:
-    """Targets of round r in a document of n words; all rounds together have each word once."""
-    return np.arange((n * 7 + r) % rounds, n, rounds)
+def laid_out(packed: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of some documents one behind the other, with SIDE zeros before, between and behind them; words of each document; and of every word its document and its place among the ids."""
+    gap = bytes(4 * SIDE)
+    flat = unpacked(gap + b"".join([x + gap for x in packed]), side)
+    size = np.array([len(x) // 4 for x in packed], dtype=np.int64)
+    row = np.repeat(np.arange(len(packed)), size)
+    return flat, size, row, np.arange(len(row)) + SIDE * (row + 1)
+
+
+def in_round(size: np.ndarray, row: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """Which words are targets of round r; all rounds together have each word of a document once. size, row: see laid_out()."""
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    return inside % rounds == ((size * 7 + r) % rounds)[row]
 
 
 def train(rows: DataFrame, side: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -282,17 +292,16 @@ def train(rows: DataFrame, side: int, rounds: int = ROUNDS) -> dict[str, np.ndar
             trainer, held, size, done = Trainer(start.value), [], 0, 0
             rng = np.random.default_rng(r)
             for b in batches:
-                for ids in (unpacked(x, side) for x in b.column(0).to_pylist()):
-                    if not len(ids):
-                        continue
-                    at = SIDE + places(len(ids), r, rounds)
-                    ids = np.pad(ids, SIDE)
-                    held.append((contexts(ids, at), ids[at]))
+                packed = b.column(0).to_pylist()
+                for i, j in slices(packed, 1 << 18):
+                    flat, sizes, row, at = laid_out(packed[i:j], side)
+                    at = at[in_round(sizes, row, r, rounds)]
+                    held.append((contexts(flat, at), flat[at]))
                     size += len(at)
                     if size >= 8 * BATCH:
                         done += _walk(trainer, held, rng)
                         held, size = [], 0
-            if held:
+            if size:
                 done += _walk(trainer, held, rng)
             if done:
                 x = _flat(trainer.m).astype(np.float64) * done
@@ -333,23 +342,19 @@ def score(rows: DataFrame, model: dict[str, np.ndarray], words: Words) -> DataFr
     net, shares, first, side = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(words.log_share), words.first_bucket, words.side
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, gap = net.value, np.zeros(SIDE, np.uint16 if side <= 256 else np.int32)
+        m = net.value
         share = np.concatenate([np.zeros(first), shares.value])
         for b in batches:
             packed, n, total = b.column(1).to_pylist(), [], []
-            for i, j in slices(packed, 1 << 17):
-                ids = [unpacked(x, side) for x in packed[i:j]]
-                size = np.array([len(x) for x in ids])
-                flat = np.concatenate([gap, *(y for x in ids for y in (x, gap))])
-                row = np.repeat(np.arange(len(ids)), size)
-                at = np.arange(len(row)) + SIDE * (row + 1)
+            for i, j in slices(packed, 1 << 18):
+                flat, size, row, at = laid_out(packed[i:j], side)
                 p = np.empty(len(at))
                 # a long text by parts, so that working memory is bounded
                 for k in range(0, len(at), 1 << 15):
                     part = at[k : k + (1 << 15)]
                     p[k : k + len(part)] = log_probabilities(m, contexts(flat, part), flat[part]) + share[flat[part]]
                 n += size.tolist()
-                total += np.bincount(row, p, len(ids)).tolist()
+                total += np.bincount(row, p, j - i).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])
 
     out = rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
