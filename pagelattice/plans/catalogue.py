@@ -363,8 +363,8 @@ SELECT term, content, CASE WHEN term IN {_SQL_LIST(v["blacklist"])} THEN 'blackl
 
 def _terms(spark, sf_dir):
     words = D.read(spark, sf_dir, "part").select(F.explode(F.split(F.upper(F.concat_ws(" ", "p_type", "p_name")), " ")).alias("term")).union(spark.createDataFrame([(w,) for w in ("AE", "SUPPXY", "NOTSUBMITTEDX", "PROMO", "FAX", "QZ", "SMALL")], "term string")).distinct()
-    # a few dozen words beside each distinct text
-    return D.annotations(spark, sf_dir).select("content").distinct().crossJoin(F.broadcast(words))
+    # the query asks for every word beside every distinct text; which side is sent around is left to the sizes
+    return D.annotations(spark, sf_dir).select("content").distinct().crossJoin(words)
 
 
 @query(_classify_sql(False))

@@ -38,14 +38,25 @@ def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.upper(F.trim(F.regexp_replace("value", "﻿|\r", ""))).alias("term")).where(~F.col("term").startswith("#") & (F.col("term") != "")).distinct()
 
 
+#: Terms that a vocabulary file can have at most: they become constants of plans.
+MOST_TERMS = 100_000
+
+
+def _collected(rows: DataFrame) -> list:
+    """All rows of a vocabulary file, which is configuration of a few hundred; a file that is too large for constants is refused."""
+    found = rows.limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"a vocabulary file has at most {MOST_TERMS} terms")
+    return found
+
+
 def load_vocabulary(spark: SparkSession, exact: str, affixes: str, blacklist: str, affix_mode: str = "compat") -> Vocabulary:
     """affix_mode compat takes affixes as they are spelled; strict takes off a leading apostrophe and leaves out bare '--'."""
     by: dict[tuple[str, str], list[str]] = {}
     for kind, path in (("exact", exact), ("affix", affixes)):
-        # configuration: a few hundred rows
-        for r in read_terms(spark, path).orderBy("category", "term").collect():
+        for r in _collected(read_terms(spark, path).orderBy("category", "term")):
             by.setdefault((kind, r["category"]), []).append(r["term"])
     if affix_mode == "strict":
         by = {k: sorted({t.lstrip("'") for t in v} - {"--"}) if k[0] == "affix" else v for k, v in by.items()}
-    words = [r["term"] for r in read_blacklist(spark, blacklist).orderBy("term").collect()]
+    words = [r["term"] for r in _collected(read_blacklist(spark, blacklist).orderBy("term"))]
     return Vocabulary(by.get(("exact", "dataset"), []), by.get(("exact", "variable"), []), by.get(("affix", "dataset"), []), by.get(("affix", "variable"), []), words)

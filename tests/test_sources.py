@@ -46,6 +46,13 @@ def test_vocabulary(spark, tmp_path):
     assert (strict.dataset_affixes, strict.variable_affixes) == (["SUPP--"], ["--XFN"])
 
 
+def test_a_vocabulary_too_large_for_constants_is_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "terms.csv").write_text("category,term\nvariable,A1\nvariable,A2\nvariable,A3\n")
+    monkeypatch.setattr(vocabulary, "MOST_TERMS", 2)
+    with pytest.raises(ValueError, match="at most"):
+        vocabulary.load_vocabulary(spark, str(tmp_path / "terms.csv"), str(tmp_path / "none.csv"), str(tmp_path / "none.txt"))
+
+
 def test_csv(spark, tmp_path):
     rows = spark.createDataFrame([("a,b", 1)], "x string, y int")
     report.write_csv(rows, ["y", "missing", "x"], str(tmp_path / "out"))
