@@ -1,15 +1,18 @@
 """Operator 1, substring dedup with a count-min prefilter.
 
-Every window of `width` consecutive words has a 128-bit key. Three passes over the texts:
-
-1. Each task counts its windows in a count-min sketch of two rows whose counters stop at 2, and sends it in slices; the slices
-   of all tasks are merged. A merged counter is never below the true count, so a window whose counters are not both 2 occurs once.
-2. Only windows estimated repeated go on, at most one per key and task: the first. They are grouped exactly by key, in
-   buckets of keys, and the first occurrence of each key is kept: so a passage that a third of all documents share is one row per task.
-3. Those first occurrences return to their documents; a window estimated repeated that is not the first of its key is covered by an earlier one, and its words go.
-
-The merged sketch is broadcast. It has 3 counters per window and row, each one bit ("2 or more") by then, but never more than
-`most_bits`; beyond that size more windows are estimated repeated, and results stay the same.
+Every window of `width` consecutive words has a 128-bit key, and an anchor: the run of 2/5 * `width` words inside it with the smallest hash, the leftmost of equals.
+Windows of the same words have their anchors at the same place inside, so a window never occurs more often than its anchor does; neighbours
+mostly share one, so there is an anchor for every six windows or so. One plan, whose texts are dealt to blocks once:
+
+1. Each task counts its anchors, up to 2, and sends these partial sketches to slices by key, each anchor once with the block of its document. A slice merges them
+   in a count-min sketch of two rows with 3 counters per anchor and row. Counters are never below the true count, so a window whose anchor's counters are not both 2
+   occurs once. What a slice estimates repeated goes back to the block it came from; a task that sees an anchor twice tells the blocks by itself, so a passage that
+   a third of all documents share is one entry per task in its slice.
+2. Only windows estimated repeated go on from a block, at most one per key and `flush` of them: the first. They are grouped exactly by key, in
+   buckets of keys, and the first occurrence of each key is kept.
+3. Those first occurrences return to their blocks; a window estimated repeated that is not the first of its key is covered by an earlier one, and its words go.
+
+The sketch grows with the corpus: there are as many slices as the texts ask for, each of about `SLICE` anchors. Nothing is broadcast and nothing but the size of the texts comes to the driver.
 """
 
 from __future__ import annotations
@@ -24,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelattice.llm.common import NULL_ID, in_parts, odd_numbers, slices, table, word_hashes, written
+from pagelattice.llm.common import NULL_ID, in_parts, odd_numbers, slices, table, word_hashes
 
 WIDTH = 20
-ROWS = 2
-SLICE = 1 << 20
-#: 128 MiB
-MOST_BITS = 1 << 30
+SLICE = 4_000_000
+#: counters per anchor and row
+COUNTERS = 3
 BYTES_A_WORD = 6
 
 
@@ -59,8 +61,23 @@ def window_keys(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of `width` word hashes, the key of its anchor and where that begins; the places never go down."""
+    size = max(1, 2 * width // 5)
+    v = window_keys(h, size)[0]
+    at, span, room = np.arange(len(v)), 1, width - size + 1
+    # the smallest of 2, 4, 8, ... neighbours, then two overlapping stretches
+    while span < room:
+        step = min(span, room - span)
+        left, right = at[:-step], at[step:]
+        at = np.where(v[left] <= v[right], left, right)
+        span += step
+    # smallest hashes are small: mixed again, they are spread over the slices
+    return mixed(v[at] + np.uint64(0x9E3779B97F4A7C15)), at
+
+
 class Words:
-    """The words of consecutive texts: `lists`, where each text begins among them, and the keys of all windows within one text."""
+    """The words of consecutive texts: `lists`, where each text begins among them, and the keys and anchors of all windows within one text."""
 
     def __init__(self, texts: list, width: int):
         self.lists = [t.encode().split() if t else [] for t in texts]
@@ -72,38 +89,16 @@ class Words:
         inside = np.flatnonzero(doc[: len(k1)] == doc[width - 1 :]) if len(k1) else np.empty(0, np.int64)
         self.k1, self.k2, self.doc = k1[inside], k2[inside], doc[inside]
         self.start = inside - self.begin[self.doc]
+        key, at = anchors(h, width) if len(inside) else (k1, inside)
+        self.anchor, at = key[inside], at[inside]
+        #: one window of each anchor
+        self.once = np.flatnonzero(np.diff(at, prepend=-1))
 
 
 def cells(k: np.ndarray, n: int) -> np.ndarray:
     return (((k >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.uint32)
 
 
-def to_bytes(x: np.ndarray) -> bytes:
-    """Sorted numbers as their differences, a byte each; 255 stands for 255 and more to come."""
-    d = np.diff(x.astype(np.int64), prepend=0)
-    more = d // 255
-    ends = np.cumsum(more + 1) - 1
-    out = np.full(int(ends[-1]) + 1 if len(x) else 0, 255, np.uint8)
-    out[ends] = d % 255
-    return out.tobytes()
-
-
-def from_bytes(b: bytes) -> np.ndarray:
-    x = np.frombuffer(b, np.uint8)
-    return np.cumsum(x, dtype=np.int64)[x != 255]
-
-
-def merged(payloads: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a slice of n counters: whether each is at least 1, and at least 2."""
-    one, two = np.zeros(n, bool), np.zeros(n, bool)
-    for p in payloads:
-        x = from_bytes(p)
-        two[x[1:][x[1:] == x[:-1]]] = True
-        two[x[one[x]]] = True
-        one[x] = True
-    return one, two
-
-
 def shuffled(*arrays: np.ndarray) -> bytes:
     """Numbers by bytes of equal weight, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays))
@@ -119,85 +114,68 @@ def unshuffled(data: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
     return out
 
 
+_ANCHOR = (np.uint64, np.int32)
 _CANDIDATE = (np.uint64, np.uint64, np.int64, np.int32)
 _PLACE = (np.int64, np.int32)
 
 
-def firsts(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+def firsts(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
     """The first occurrence of each key, by (doc, start); sorted by key."""
     order = np.lexsort((start, doc, k2, k1))
-    k1, k2, doc, start = k1[order], k2[order], doc[order], start[order]
     first = np.ones(len(k1), bool)
-    first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    return [k1[first], k2[first], doc[first], start[first]]
+    first[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+    return [x[order[first]] for x in (k1, k2, doc, start, *more)]
+
+
+def partial(key: np.ndarray, block: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Anchors counted up to 2: (key, block) sorted by key, each key once, where block -1 stands for 2 and more; and the (key, block) of the latter, sorted by block, each pair once."""
+    order = np.argsort(key, kind="stable")
+    key, block = key[order], block[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    again = ~new
+    again[:-1] |= ~new[1:]
+    told = np.lexsort((key[again], block[again]))
+    k, b = key[again][told], block[again][told]
+    pair = np.ones(len(k), bool)
+    pair[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+    return [key[new], np.where(again, np.int32(-1), block)[new]], [k[pair], b[pair]]
+
+
+def estimated(key: np.ndarray, block: np.ndarray, counters: int) -> np.ndarray:
+    """Which anchors a count-min sketch of these partial counts estimates to occur more than once; it has `counters` per anchor in each of two rows, one at least."""
+    n, out = max(1, counters * len(key)), np.ones(len(key), bool)
+    for k in (key << np.uint64(32), mixed(key)):
+        c = cells(k, n)
+        two = np.bincount(c, minlength=n) > 1
+        two[c[block < 0]] = True
+        out &= two[c]
+    return out
 
 
-def sketch(docs: DataFrame, text: str, width: int, windows: int, most_bits: int, flush: int = 4_000_000) -> np.ndarray:
-    """Per row of the sketch a bit for each counter, set where it reached 2, packed; at most `most_bits` together."""
-    n = -(-min(most_bits // ROWS, 3 * windows) // SLICE) * SLICE
+def within(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(x), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)] == x
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
-        size = 0
 
-        def out() -> pa.RecordBatch:
-            cols: list[list] = [[], [], []]
-            for row in range(ROWS):
-                x = np.sort(np.concatenate(held[row])) if held[row] else np.empty(0, np.uint32)
-                keep = np.ones(len(x), bool)
-                keep[2:] = x[2:] != x[:-2]
-                x = x[keep]
-                edges = np.searchsorted(x, np.arange(0, n + 1, SLICE, dtype=np.int64))
-                for s in np.flatnonzero(np.diff(edges)):
-                    for c, v in zip(cols, (row, int(s), to_bytes(x[edges[s] : edges[s + 1]] - np.uint32(s * SLICE))), strict=True):
-                        c.append(v)
-                held[row].clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["row", "slice", "payload"])
+def by_group(group: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The groups of arrays sorted by group, and the bytes of each; the first column as differences, which wrap around."""
+    edges = np.append(np.flatnonzero(np.diff(group, prepend=group[0] - 1)), len(group)) if len(group) else np.zeros(1, np.int64)
+    parts = [[c[a:b] for c in columns] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return group[edges[:-1]], [shuffled(np.diff(first, prepend=first.dtype.type(0)), *rest) for first, *rest in parts]
 
-        for b in in_parts(batches, 0):
-            texts = b.column(0).to_pylist()
-            for i, j in slices(texts):
-                w = Words(texts[i:j], width)
-                for row, k in enumerate((w.k1, w.k2)):
-                    held[row].append(cells(k, n))
-                size += len(w.k1)
-                if size >= flush:
-                    yield out()
-                    size = 0
-        if size:
-            yield out()
 
-    def merge(t: pa.Table) -> pa.Table:
-        one, two = merged(t["payload"].to_pylist(), SLICE)
-        x = np.flatnonzero(one)
-        return pa.table({"row": pa.array([t["row"][0].as_py()], pa.int32()), "slice": pa.array([t["slice"][0].as_py()], pa.int32()), "payload": pa.array([to_bytes(np.repeat(x, 1 + two[x]))], pa.binary())})
-
-    def finish(t: pa.Table) -> pa.Table:
-        _, two = merged(t["payload"].to_pylist(), SLICE)
-        return pa.table({"row": pa.array([t["row"][0].as_py()], pa.int32()), "slice": pa.array([t["slice"][0].as_py()], pa.int32()), "payload": pa.array([np.packbits(two).tobytes()], pa.binary())})
-
-    schema = "row int, slice int, payload binary"
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, schema)
-    # many tasks' slices are merged in two steps, so that no group grows with the number of tasks
-    salts = windows // flush // 256
-    if salts > 1:
-        parts = parts.withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(salts))).groupBy("row", "slice", "salt").applyInArrow(lambda key, t: merge(t), schema)
-    bits = np.zeros((ROWS, n // 8), np.uint8)
-    for r in parts.groupBy("row", "slice").applyInArrow(lambda key, t: finish(t), schema).toLocalIterator():
-        bits[r["row"], r["slice"] * (SLICE // 8) : (r["slice"] + 1) * (SLICE // 8)] = np.frombuffer(r["payload"], np.uint8)
-    return bits
-
-
-def repeated(bits: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    """Which windows are estimated to occur more than once."""
-    out = np.ones(len(k1), bool)
-    for row, k in enumerate((k1, k2)):
-        c = cells(k, bits.shape[1] * 8)
-        out &= (bits[row, c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
+def gathered(payloads: list[bytes], kinds: tuple[type, ...]) -> list[np.ndarray]:
+    """The columns of by_group(), of several groups one behind another."""
+    held = [unshuffled(p, kinds) for p in payloads]
+    if not held:
+        return [np.empty(0, k) for k in kinds]
+    first, *rest = zip(*held, strict=True)
+    return [np.concatenate([np.cumsum(c, dtype=c.dtype) for c in first]), *map(np.concatenate, rest)]
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS, doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None, flush: int = 500_000) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, counters: int = COUNTERS, doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None, flush: int = 500_000) -> DataFrame:
     """`columns` of each row (all, if none are named) with n_words, n_removed, kept_sha256 and kept_text behind them.
 
     Words are runs of characters other than ASCII white space. A word goes if a window that covers it has the words of a window that starts
@@ -208,81 +186,100 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS, doc_i
     the texts. Rows that share an id are one document, so of two equal rows, with an id or without, neither is earlier and both keep their words. Texts shorter than a window are kept; an empty
     table gives an empty result; columns are told apart by place, so any names may stand beside these.
     """
-    spark = docs.sparkSession
     about = docs.agg(F.sum(F.octet_length(F.col(text))), F.max(F.col(doc_id).cast("long"))).first()
     size, last = int(about[0] or 0), max(0, about[1] or 0)
     # ids behind the last one, for rows without one
     room = min(1 << 40, NULL_ID - last)
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID) if room < 1 << 40 else F.lit(last + 1) + F.pmod(F.xxhash64(text), F.lit(room)))
     windows = max(1, size // BYTES_A_WORD)
-    bits = spark.sparkContext.broadcast(sketch(docs, text, width, windows, most_bits))
-    buckets, blocks = max(8, windows // 2_000_000), max(8, size // (4 << 20))
+    buckets, blocks, parts = max(8, windows // 2_000_000), max(8, size // (4 << 20)), max(16, windows // 6 // SLICE)
+    names = columns or docs.columns
+    at_id, at_text = len(names), len(names) + 1
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], key.alias(f"c{at_id}"), F.col(text).alias(f"c{at_text}"), block)
+    out_schema = T.StructType([*rows.schema.fields[: len(names)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            k1, k2, doc, start = firsts(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            counts, told = partial(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            bucket = cells(k1, buckets)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edges))
-            data = [shuffled(np.diff(k1[a:b], prepend=np.uint64(0)), k2[a:b], doc[a:b], start[a:b]) for a, b in zip(edges[full], edges[full + 1], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "payload"])
+            part, sketches = by_group(cells(counts[0], parts).astype(np.int32), *counts)
+            # pairs that are known already take the way over some slice, so that those of a block travel together
+            order = np.argsort(told[1] % parts, kind="stable")
+            via, known = by_group((told[1] % parts)[order].astype(np.int32), *(x[order] for x in told))
+            cols = (np.concatenate([part, via]), [*[False] * len(part), *[True] * len(via)], sketches + known)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["part", "known", "payload"])
 
         n = 0
-        for b in in_parts(batches, 1):
-            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+        for b in in_parts(batches, 0):
+            texts, of = b.column(0).to_pylist(), b.column(1).to_numpy()
             for i, j in slices(texts):
                 w = Words(texts[i:j], width)
-                hit = np.flatnonzero(repeated(bits.value, w.k1, w.k2))
-                held.append([w.k1[hit], w.k2[hit], ids[i + w.doc[hit]], w.start[hit].astype(np.int32)])
-                n += len(hit)
+                held.append([w.anchor[w.once], of[i + w.doc[w.once]]])
+                n += len(w.once)
                 if n >= flush:
                     yield out()
                     n = 0
         if n:
             yield out()
 
-    def exact(t: pa.Table) -> pa.Table:
-        held = []
-        for p in t["payload"].to_pylist():
-            k1, k2, doc, start = unshuffled(p, _CANDIDATE)
-            held.append((np.cumsum(k1, dtype=np.uint64), k2, doc, start))
-        _, _, doc, start = firsts(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        block = block_of(doc)
-        order = np.lexsort((start, doc, block))
-        block, doc, start = block[order], doc[order], start[order]
-        edges = np.searchsorted(block, np.arange(blocks + 1))
-        full = np.flatnonzero(np.diff(edges))
-        return pa.table({"block": pa.array(full, pa.int64()), "payload": pa.array([shuffled(doc[a:b], start[a:b]) for a, b in zip(edges[full], edges[full + 1], strict=True)], pa.binary())})
-
-    def block_of(doc: np.ndarray) -> np.ndarray:
-        return (mixed(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.ascontiguousarray(b.column(at_id).to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block_of(ids))], names=[*b.schema.names, "block"])
+    def sketched(t: pa.Table) -> pa.Table:
+        known = t["known"].to_numpy()
+        k, b = gathered(t["payload"].filter(pa.array(~known)).to_pylist(), _ANCHOR)
+        hit = estimated(k, b, counters) & (b >= 0)
+        more = gathered(t["payload"].filter(pa.array(known)).to_pylist(), _ANCHOR)
+        k, b = np.concatenate([k[hit], more[0]]), np.concatenate([b[hit], more[1]])
+        order = np.lexsort((k, b))
+        to, payload = by_group(b[order], k[order])
+        return pa.table({"block": pa.array(to, pa.int32()), "first": pa.array([False] * len(to), pa.bool_()), "payload": pa.array(payload, pa.binary())})
+
+    def anchors_of(right: pa.Table) -> np.ndarray:
+        return np.unique(gathered(right["payload"].to_pylist(), _ANCHOR[:1])[0])
+
+    def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, texts, known = left.column(at_id).to_numpy(), left.column(at_text).to_pylist(), anchors_of(right)
+        held: list[list[np.ndarray]] = []
+        cols: list[list] = [[], []]
 
-    names = columns or docs.columns
-    at_id, at_text = len(names), len(names) + 1
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], key.alias(f"c{at_id}"), F.col(text).alias(f"c{at_text}"))
-    out_schema = T.StructType([*rows.schema.fields[: len(names)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
+        def out() -> None:
+            found = firsts(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            for c, v in zip(cols, by_group(cells(found[0], buckets).astype(np.int32), *found), strict=True):
+                c.extend(v)
+
+        for i, j in slices(texts):
+            w = Words(texts[i:j], width)
+            hit = np.flatnonzero(within(known, w.anchor))
+            held.append([w.k1[hit], w.k2[hit], ids[i + w.doc[hit]], w.start[hit].astype(np.int32)])
+            if sum(len(x[0]) for x in held) >= flush:
+                out()
+        if held:
+            out()
+        of = left.column("block")[0].as_py() if len(left) else 0
+        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "block": pa.array([of] * len(cols[0]), pa.int32()), "payload": pa.array(cols[1], pa.binary())})
+
+    def exact(t: pa.Table) -> pa.Table:
+        held, of = [gathered([p], _CANDIDATE) for p in t["payload"].to_pylist()], t["block"].to_numpy()
+        _, _, doc, start, of = firsts(*(np.concatenate(x) for x in zip(*held, strict=True)), np.repeat(of, [len(x[0]) for x in held]))
+        order = np.lexsort((start, doc, of))
+        to, payload = by_group(of[order], doc[order], start[order])
+        return pa.table({"block": pa.array(to, pa.int32()), "first": pa.array([True] * len(to), pa.bool_()), "payload": pa.array(payload, pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
         ids, texts = left.column(at_id).to_numpy(), left.column(at_text).to_pylist()
-        known, own = np.unique(ids, return_inverse=True)
-        parts = [unshuffled(p, _PLACE) for p in right["payload"].to_pylist()]
-        first = np.sort(np.concatenate([np.searchsorted(known, d) << 32 | s.astype(np.int64) for d, s in parts])) if parts else np.empty(0, np.int64)
+        uniq, own = np.unique(ids, return_inverse=True)
+        is_first = right["first"].to_numpy()
+        known = anchors_of(right.filter(pa.array(~is_first)))
+        d, s = gathered(right["payload"].filter(pa.array(is_first)).to_pylist(), _PLACE)
+        first = np.sort(np.searchsorted(uniq, d) << 32 | s.astype(np.int64))
         cols: list[list] = [[], [], [], []]
         for i, j in slices(texts):
             w = Words(texts[i:j], width)
-            hit = np.flatnonzero(repeated(bits.value, w.k1, w.k2))
-            code = own[i + w.doc[hit]].astype(np.int64) << 32 | w.start[hit]
-            at = np.minimum(np.searchsorted(first, code), max(0, len(first) - 1))
-            late = hit[first[at] != code] if len(first) else hit
+            hit = np.flatnonzero(within(known, w.anchor))
+            late = hit[~within(first, own[i + w.doc[hit]].astype(np.int64) << 32 | w.start[hit])]
             step = np.zeros(sum(map(len, w.lists)) + 1, np.int64)
             begin = w.begin[w.doc[late]] + w.start[late]
             np.add.at(step, begin, 1)
@@ -296,10 +293,13 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS, doc_i
                     c.append(v)
         return pa.Table.from_arrays([*left.columns[: len(names)], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=[f.name for f in out_schema])
 
-    found = rows.select(f"c{at_id}", f"c{at_text}").mapInArrow(candidates, "bucket int, payload binary").groupBy("bucket").applyInArrow(lambda key, t: exact(t), "block long, payload binary")
-    found = written(found, "substring-firsts")
-    with_block = rows.mapInArrow(blocked, T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())]))
-    out = with_block.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, out_schema)
+    told = "block int, first boolean, payload binary"
+    sent = rows.select(f"c{at_text}", "block").mapInArrow(counted, "part int, known boolean, payload binary")
+    known = sent.groupBy("part").applyInArrow(lambda key, t: sketched(t), told)
+    # the plan names the dealt texts and the slices twice; Spark makes each exchange once
+    dealt = rows.groupBy("block")
+    found = dealt.cogroup(known.groupBy("block")).applyInArrow(candidates, "bucket int, block int, payload binary").groupBy("bucket").applyInArrow(lambda key, t: exact(t), told)
+    out = dealt.cogroup(known.unionAll(found).groupBy("block")).applyInArrow(finish, out_schema)
     return out.toDF(*names, "n_words", "n_removed", "kept_sha256", "kept_text")
 
 

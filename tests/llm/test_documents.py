@@ -55,9 +55,10 @@ def kept_by_force(rows, width):
     return out
 
 
-@pytest.mark.parametrize("width, bits, flush", [(20, 1 << 30, 500_000), (5, 1 << 21, 50)])
-def test_substrings(spark, rows, width, bits, flush):
-    got = substring_dedup.dedup(table(spark, rows).repartition(5), width=width, most_bits=bits, flush=flush).drop("kept_text").collect()
+@pytest.mark.parametrize("width, counters, flush", [(20, 3, 500_000), (5, 3, 50), (20, 0, 500)])
+def test_substrings(spark, rows, width, counters, flush):
+    """With sketches of one counter, too, where every window is estimated repeated."""
+    got = substring_dedup.dedup(table(spark, rows).repartition(5), width=width, counters=counters, flush=flush).drop("kept_text").collect()
     want = kept_by_force(rows, width)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == {i: w[:3] for i, w in want.items()}
     assert any(w[1] for w in want.values())
@@ -85,12 +86,35 @@ def test_substrings_of_rows_without_an_id(spark):
 
 def test_sketch_never_underestimates():
     rnd = np.random.default_rng(1)
-    x = np.sort(rnd.integers(0, 5000, 4000))
-    half = [substring_dedup.to_bytes(np.sort(p)) for p in (x[::2], x[1::2])]
-    one, two = substring_dedup.merged(half, 5000)
-    n = np.bincount(x, minlength=5000)
-    assert (one == (n > 0)).all() and (two == (n > 1)).all()
-    assert (substring_dedup.from_bytes(half[0]) == np.sort(x[::2])).all()
+    x = substring_dedup.mixed(rnd.integers(0, 5000, 4000).astype(np.uint64))
+    block = rnd.integers(0, 9, 4000).astype(np.int32)
+    parts = [substring_dedup.partial(x[i::4], block[i::4]) for i in range(4)]
+    counts = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
+    u, n = np.unique(x, return_counts=True)
+    often = set(u[n > 1].tolist())
+    for counters in (3, 0):
+        hit = substring_dedup.estimated(*counts, counters)
+        told = set(zip(counts[0][hit].tolist(), counts[1][hit].tolist(), strict=True)) | {p for _, t in parts for p in zip(*(c.tolist() for c in t), strict=True)}
+        # every block with a repeated key hears of it
+        assert {(k, b) for k, b in zip(x.tolist(), block.tolist(), strict=True) if k in often} <= told
+        wrong = {k for k, b in told if k not in often}
+        assert len(wrong) < 0.2 * (n == 1).sum() if counters else len(wrong) == (n == 1).sum()
+    data = substring_dedup.by_group(np.repeat(np.arange(2), 5), x[:10], block[:10])[1]
+    back = substring_dedup.gathered(data, (np.uint64, np.int32))
+    assert (back[0] == x[:10]).all() and (back[1] == block[:10]).all()
+
+
+def test_equal_windows_have_equal_anchors_at_the_same_place():
+    rnd = np.random.default_rng(2)
+    for width in (1, 2, 5, 20):
+        h = rnd.integers(0, 3, 500).astype(np.uint64)
+        key, at = substring_dedup.anchors(h, width)
+        assert len(key) == len(h) - width + 1 and (np.diff(at) >= 0).all()
+        size = max(1, 2 * width // 5)
+        seen = {}
+        for s in range(len(key)):
+            assert s <= at[s] <= s + width - size
+            assert seen.setdefault(tuple(h[s : s + width]), (key[s], at[s] - s)) == (key[s], at[s] - s)
 
 
 def shingle_sets(rows, k):
