@@ -12,6 +12,7 @@ from pagelattice.functions import text as X
 from pagelattice.operators import boxes as B
 from pagelattice.operators import classify as C
 from pagelattice.operators import index as I
+from pagelattice.operators import reading as G
 from pagelattice.operators import reconcile as R
 from pagelattice.operators.repair import repair
 from pagelattice.plans import derived as D
@@ -626,6 +627,15 @@ def budget_rows(spark, sf_dir):
     return B.first_of(B.readable(D.boxes(spark, sf_dir)).where("fill_ratio < 0.5"), ["page"], [F.col("box_seq")], B.EASYOCR_BUDGET).select("page", "box_seq")
 
 
+@query(f"""
+WITH {D.BOXES_SQL}, many AS (SELECT page FROM boxes WHERE source = 'color' AND fill_ratio > 0.85 GROUP BY 1 HAVING count(*) >= 22),
+edges AS (SELECT page, box_seq, source FROM boxes WHERE source = 'border' AND page NOT IN (SELECT page FROM many) QUALIFY row_number() OVER (PARTITION BY page ORDER BY w * h DESC, box_seq) <= 180)
+SELECT page, box_seq, source FROM boxes WHERE source = 'color' UNION ALL SELECT * FROM edges""")
+def contours_tried(spark, sf_dir):
+    rows = D.boxes(spark, sf_dir).withColumn("area", F.col("rect.w") * F.col("rect.h"))
+    return G.contours(rows, rows.where("fill_ratio > 0.85"), ["page"]).select("page", "box_seq", "source")
+
+
 @query(f"""
 WITH RECURSIVE {D.BOXES_SQL}, o AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY fill_ratio DESC, box_seq) AS INTEGER) AS place, box_seq, fill_ratio AS confidence, {{{{'x': x, 'y': y, 'w': w, 'h': h}}}} AS rect FROM boxes),
 f AS (
