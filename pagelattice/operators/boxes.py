@@ -72,11 +72,14 @@ def rank_quick(readings: DataFrame, box: list[str]) -> DataFrame:
 
 
 def choose_reading(ranked: DataFrame, box: list[str]) -> DataFrame:
-    """The reading of each box by score, confidence and quality (columns conf, adj), among the best and a runner-up within 1.0."""
+    """The reading of each box by score, confidence and quality (columns conf, adj), among the best and a runner-up within 1.0.
+
+    Totals that agree to nine decimals are equal, as sums of the same value can differ in the last bits; then score, confidence and the shorter text decide.
+    """
     best = Window.partitionBy(*box)
     near = ranked.where("rank <= 2").withColumn("_best", F.max("score").over(best)).where("rank = 1 or _best - score <= 1.0")
     near = near.withColumn("total", F.col("score") * 10.0 + F.col("conf") + F.col("adj"))
-    w = best.orderBy(F.desc("total"), F.desc("score"), F.desc("conf"), F.length("text"), "rank")
+    w = best.orderBy(F.round("total", 9).desc(), F.desc("score"), F.desc("conf"), F.length("text"), "rank")
     return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_best", "rank", "gap")
 
 
